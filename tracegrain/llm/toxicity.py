@@ -4,21 +4,26 @@ A document is a bag of sentences.  A sentence's score is the logistic of the sum
 of its words' weights and a bias; a document's score is the noisy-or
 1 - prod(1 - s) of its sentences.  Only documents carry labels; the weights are
 fitted to them through the noisy-or, so that the sentences that explain a label
-get its blame, and the same weights then locate offending sentences.
+get its blame, and the same weights then locate offending sentences.  A word's
+weight is the sum of those of the word and its runs of four and five characters.
 
 Learning uses a bounded sample: of the labelled documents whose crc32(doc_id)
-mod 5 is not 0, the ``max_docs`` with the lowest hash of the id.  Executors turn
-those into word hashes, and the driver fits the weights on at most ``max_words``
-of them.  Scores are computed for whole texts of all rows.
+mod 5 is not 0, the ``max_docs`` with the lowest hash of the id.  Executors
+count in how many toxic and clean documents of the sample each feature occurs;
+the ``MAX_FEATURES`` that are most surely more frequent in toxic ones are
+fitted, on the driver, on their occurrences alone (``MAX_HITS`` at most).
+Scores are computed for whole texts of all rows.
 
 Edge cases: null and empty texts are one sentence without words; several labels
-of one document count as toxic if one is; null labels are none; without any
-usable label every score is 0; repeated rows get equal scores.
+of one document count as toxic if one is; null labels are none; without a toxic
+and a clean label every score is 0; repeated rows get equal scores.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +31,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Of the sample: documents, and word hashes in all.
-MAX_DOCS, MAX_WORDS = 12_000, 12_000_000
-BITS = 18
+from .common import cut
+
+#: Bounds of what is learnt from: documents; features; occurrences of features.
+MAX_DOCS, MAX_FEATURES, MAX_HITS = 12_000, 4096, 4_000_000
+BITS = 20
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _TOKEN = re.compile(r"\w+")
 
@@ -37,101 +44,126 @@ def sentences(text: str | None) -> list[str]:
     return _SENTENCE.split(text or "")
 
 
-def _fnv(word: str) -> int:
-    h = 2166136261
-    for b in word.encode():
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    return (h ^ (h >> BITS)) & ((1 << BITS) - 1)
+def features(word: str) -> set[int]:
+    w = f"^{word}$".encode("utf-8", "replace").decode("utf-8")
+    grams = {w} | {w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1)}
+    return {(h ^ h >> BITS) & ((1 << BITS) - 1) for h in (zlib.crc32(g.encode()) for g in grams)}
 
 
-def _encode(batches):
-    """(label, text) to (label, ids of words, ends of sentences)."""
-    memo: dict[str, int] = {}
+def _count(batches):
+    """(label, text) to (feature, toxic, docs) of a task."""
+    toxic, docs, memo = Counter(), Counter(), {}
     for pdf in batches:
-        rows = []
         for label, text in zip(pdf["label"], pdf["text"], strict=True):
-            ids, ends = [], []
-            for s in sentences(text):
-                for w in set(_TOKEN.findall(s.lower())):
-                    i = memo.get(w)
-                    if i is None:
-                        if len(memo) > 500_000:
-                            memo.clear()
-                        i = memo[w] = _fnv(w)
-                    ids.append(i)
-                ends.append(len(ids))
-            rows.append((int(label), np.array(ids, np.int32).tobytes(), np.array(ends, np.int32).tobytes()))
-        yield pd.DataFrame(rows, columns=["label", "ids", "ends"])
-
-
-def _fit(rows, rounds: int = 120) -> tuple[np.ndarray, float]:
-    """Weights of the word hashes and the bias, by Adam on the noisy-or likelihood."""
-    w, b = np.zeros(1 << BITS, np.float64), -4.0
-    if not rows:
-        return w, -40.0
+            seen: set[int] = set()
+            for w in set(_TOKEN.findall(text.lower())):
+                f = memo.get(w)
+                if f is None:
+                    if len(memo) > 100_000:
+                        memo.clear()
+                    f = memo[w] = features(w)
+                seen |= f
+            docs.update(seen)
+            if label:
+                toxic.update(seen)
+    yield pd.DataFrame([(f, toxic[f], n) for f, n in docs.items()], columns=["feature", "toxic", "docs"])
+
+
+def _encode(chosen: dict[int, int]):
+    """(label, text) to (label, features of words, their sentences, number of sentences)."""
+
+    def f(batches):
+        memo: dict[str, list[int]] = {}
+        for pdf in batches:
+            rows = []
+            for label, text in zip(pdf["label"], pdf["text"], strict=True):
+                ids, at = [], []
+                every = sentences(text)
+                for i, s in enumerate(every):
+                    for w in set(_TOKEN.findall(s.lower())):
+                        own = memo.get(w)
+                        if own is None:
+                            if len(memo) > 500_000:
+                                memo.clear()
+                            own = memo[w] = [chosen[x] for x in features(w) if x in chosen]
+                        ids += own
+                        at += [i] * len(own)
+                rows.append((int(label), np.array(ids, np.int32).tobytes(), np.array(at, np.int32).tobytes(), len(every)))
+            yield pd.DataFrame(rows, columns=["label", "ids", "at", "n"])
+
+    return f
+
+
+def _fit(rows, n_features: int, rounds: int = 150) -> tuple[np.ndarray, float]:
+    """Weights of the features and the bias, by Adam on the noisy-or likelihood."""
     ids, sent, bag, y, n = [], [], [], [], 0
-    for d, (label, i, e) in enumerate(rows):
-        e = np.frombuffer(e, np.int32)
+    for d, (label, i, at, k) in enumerate(rows):
         ids.append(np.frombuffer(i, np.int32))
-        sent.append(n + np.repeat(np.arange(len(e)), np.diff(e, prepend=0)))
-        bag.append(np.full(len(e), d))
+        sent.append(n + np.frombuffer(at, np.int32).astype(np.int64))
+        bag.append(np.full(k, d))
         y.append(label)
-        n += len(e)
+        n += k
     ids, sent, bag, y = np.concatenate(ids), np.concatenate(sent), np.concatenate(bag), np.array(y, np.float64)
-    # words of fewer than three documents say little about others
-    seen = np.bincount(np.unique(bag[sent] * (1 << BITS) + ids) & ((1 << BITS) - 1), minlength=1 << BITS)
-    keep = seen[ids] >= 3
-    ids, sent = ids[keep], sent[keep]
-    used, ids = np.unique(ids, return_inverse=True)
-    v = np.zeros(len(used))
+    v, b = np.zeros(n_features), -6.0
     m1, m2, bm1, bm2 = np.zeros_like(v), np.zeros_like(v), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = np.clip(np.bincount(sent, v[ids], minlength=n) + b, -30, 30)
         s = 1 / (1 + np.exp(-z))
         log_no = np.bincount(bag, np.log1p(-np.minimum(s, 1 - 1e-9)), minlength=len(y))
         p = np.clip(-np.expm1(log_no), 1e-9, 1 - 1e-9)
-        # d loglik / d z = (y / p - 1) * s
+        # the likelihood's slope in z is (y / p - 1) * s
         g = (y / p - 1)[bag] * s / len(y)
-        gv = np.bincount(ids, g[sent], minlength=len(used)) - 2e-5 * np.sign(v) - 1e-6 * v
+        gv = np.bincount(ids, g[sent], minlength=n_features) - 0.1 / len(y) * v
         gb = g.sum()
         m1, m2 = 0.9 * m1 + 0.1 * gv, 0.999 * m2 + 0.001 * gv**2
         bm1, bm2 = 0.9 * bm1 + 0.1 * gb, 0.999 * bm2 + 0.001 * gb**2
-        lr = 0.12 * (1 - t / (rounds + 1)) + 0.005
+        lr = 0.15 * (1 - t / (rounds + 1)) + 0.005
         v += lr * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-7)
         b += lr * (bm1 / (1 - 0.9**t)) / (np.sqrt(bm2 / (1 - 0.999**t)) + 1e-7)
-    w[used] = v
-    return w, float(b)
+        v = np.maximum(v, 0)
+    return v, float(b)
 
 
 def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[np.ndarray, float]:
-    """(weights by word hash, bias) from the bounded sample of the labelled rows."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[dict[int, float], float]:
+    """(weights by feature, bias) from the bounded sample of the labelled rows."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     sample = (
         known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
         .orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_docs)
     )
-    rows = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-        .select("label", "text").mapInPandas(_encode, "label int, ids binary, ends binary")
+    rows = cut(
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
     )
-    got, n = [], 0
-    for r in rows.toLocalIterator():
-        n += len(r["ids"]) // 4
-        if n > MAX_WORDS:
+    n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < toxic < n:
+        return {}, -40.0
+    base = toxic / n
+    counts = rows.select("label", "text").mapInPandas(_count, "feature int, toxic long, docs long")
+    counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
+    surely = (F.col("toxic") - F.col("docs") * base) / F.sqrt(F.col("docs") * (base * (1 - base)))
+    best = counts.withColumn("z", surely).where("docs >= 3 and z >= 4").orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
+    chosen = {r["feature"]: i for i, r in enumerate(best)}
+    if not chosen:
+        return {}, -40.0
+    got, hits = [], 0
+    encoded = rows.select("label", "text").mapInPandas(_encode(chosen), "label int, ids binary, at binary, n int")
+    for r in encoded.toLocalIterator():
+        hits += len(r["ids"]) // 4
+        if hits > MAX_HITS:
             break
-        got.append((r["label"], bytes(r["ids"]), bytes(r["ends"])))
+        got.append((r["label"], bytes(r["ids"]), bytes(r["at"]), r["n"]))
     got.sort()
-    return _fit(got)
+    v, b = _fit(got, len(chosen))
+    return {f: float(v[i]) for f, i in chosen.items() if v[i] > 0}, b
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
     """``docs`` with score, predicted, worst (index of the worst sentence) and offending (those of 0.5 or more)."""
-    w, b = model
-    shared = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32), b))  # 1 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES numbers
 
     @F.pandas_udf("struct<score:double,worst:int,offending:array<int>>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -148,7 +180,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                         if v is None:
                             if len(memo) > 500_000:
                                 memo.clear()
-                            v = memo[word] = float(weights[_fnv(word)])
+                            v = memo[word] = sum(weights.get(f, 0.0) for f in sorted(features(word)))
                         z += v
                     zs.append(z)
                 p = 1 / (1 + np.exp(-np.clip(np.array(zs), -30, 30)))
