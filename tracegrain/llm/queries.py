@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, toxicity
+from . import chat, decontam, media, mixing, sharding, toxicity
 from .common import cut, read
 
 
@@ -48,6 +48,16 @@ FROM made GROUP BY conv_id
 """
 
 
+def op4_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"
+    )
+
+
+def op5_containment_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     keys = sharding.keyed(docs).select(
