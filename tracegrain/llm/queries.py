@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, media, mixing, sharding, toxicity
+from . import chat, decontam, media, mixing, sharding, substring, toxicity
 from .common import cut, read
 
 
@@ -80,6 +80,11 @@ def op8_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)[0].select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_doubling_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
