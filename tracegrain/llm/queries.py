@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, media, mixing, sharding, substring, toxicity
+from . import chat, decontam, html_wrapper, media, mixing, sharding, substring, toxicity
 from .common import cut, read
 
 
+def op2_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.main_texts(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = f"{chat.END}{chat.START}assistant ok"
