@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +53,17 @@ def words(text: str) -> list[str]:
     return _WORDS(text)
 
 
-def _compile():
-    import re
+_WORDS = re.compile(WORD).findall
 
-    return re.compile(WORD).findall
 
-
-_WORDS = _compile()
+def word_hashes(tokens: list[str], memo: dict[str, int]) -> np.ndarray:
+    """A 64-bit hash of each word that is the same in every process."""
+    out = []
+    for w in tokens:
+        h = memo.get(w)
+        if h is None:
+            if len(memo) > 300_000:
+                memo.clear()
+            h = memo[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        out.append(h)
+    return np.array(out, np.uint64)

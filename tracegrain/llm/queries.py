@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_wrapper, media, mixing, sharding, substring, toxicity
+from . import chat, decontam, html_wrapper, line_dedup, media, mixing, near_dedup, sharding, substring, toxicity
 from .common import cut, read
 
 
+def op1_segment_edit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_rows(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.main_texts(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -89,6 +93,11 @@ def op9_doubling_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs).select("doc_id", "class_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import cut, word_hashes, words
 
 WINDOW, SEED = 35, 9
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -53,19 +53,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(tokens: list[str], memo: dict[str, int]) -> np.ndarray:
-    """A 64-bit hash of each word that is the same in every process."""
-    out = []
-    for w in tokens:
-        h = memo.get(w)
-        if h is None:
-            if len(memo) > 300_000:
-                memo.clear()
-            h = memo[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        out.append(h)
-    return np.array(out, np.uint64)
-
-
 def _prefix(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sums of h[i] * P**i, powers of 1/P): hashes of runs of any length come from differences."""
     n = len(h)
@@ -177,7 +164,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _twice(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count")).where("count > 1").select(*by)
+    # cut, so that the join has its own exchange, which Spark can split
+    return cut(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count")).where("count > 1").select(*by))
 
 
 def marks(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -198,8 +186,8 @@ def marks(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     contexts = level2.groupBy("h9", "context").agg(
         F.count(F.lit(1)).alias("count"), F.min(F.struct("k1", "k2", "first", "n", "off")).alias("at")
     )
-    several = contexts.groupBy("h9").agg(F.count(F.lit(1)).alias("c"), F.max("count").alias("m")).where("c > 1 and m >= 1").select("h9")
     contexts = cut(contexts)
+    several = _twice(contexts, "h9")
     open_ = contexts.join(several, "h9", "left_semi")
     wanted = open_.select("at.k1", "at.k2", F.struct("h9", "context", "count", "at.first", "at.n", "at.off").alias("x"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("x").alias("wanted"))
@@ -212,6 +200,7 @@ def marks(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     bits = contexts.where("count > 1").select("h9", "context", whole.alias("bits")).unionByName(
         contexts.where("count = 1").select("h9", "context").join(bits, ["h9", "context"])
     )
+    bits = cut(bits)
     found = level2.join(bits, ["h9", "context"]).select("k1", "k2", "first", "bits").distinct()
     return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "bits")).alias("runs"))
 
