@@ -208,3 +208,20 @@ def mix(docs: DataFrame, block: int = 256, shards: int = 8, seed: int = 8, most:
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "at"
     )
     return out, mixed
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it whole, rounded; rows without words once.
+
+    Rows that agree in id, source and text are alike to the mix; they get the
+    mean of what it takes from them.
+    """
+    taken = mix(docs, **options)[0]
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("__d"), F.xxhash64(F.col("source").isNull(), F.col("source")).alias("__s"), F.col("size").alias("__n")]
+    times = taken.select(*key, F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1.0).alias("__x"))
+    times = times.groupBy("__d", "__s", "__n").agg(F.floor(F.avg("__x") + 0.5).cast("int").alias("__x")).where("__x > 0")
+    rows = docs.withColumns({
+        "__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__s": F.xxhash64(F.col("source").isNull(), F.col("source")), "__n": n_words(F.col("text")),
+    })
+    out = rows.join(cut(times), ["__d", "__s", "__n"]).withColumn("__x", F.explode(F.sequence(F.lit(1), F.col("__x"))))
+    return out.select(*docs.columns)

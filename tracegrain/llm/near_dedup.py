@@ -160,7 +160,7 @@ def named(docs: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """(t, class_id): for each distinct text the lowest doc_id of its class."""
+    """(t, d, first): for each distinct text its lowest doc_id, and the (d, t) of the document that its class keeps."""
     rows = named(docs)
     signed = rows.select("t", "text").mapInPandas(_sign, "t long, bands array<long>")
     signed = cut(signed.groupBy("t").agg(F.first("bands").alias("bands")))
@@ -174,15 +174,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     label = cluster.classes(members, texts_of, distances, 1 - SIMILAR + 1e-9)
     all_ = cut(owners.join(label, "t", "left").withColumn("label", F.coalesce("label", "t")))
-    lowest = cut(all_.groupBy("label").agg(F.min("d").alias("class_id")))
-    return cut(all_.join(lowest, "label").select("t", "d", "class_id"))
+    lowest = cut(all_.groupBy("label").agg(F.min(F.struct("d", "t")).alias("first")))
+    return cut(all_.join(lowest, "label").select("t", "d", "first"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with class_id (the lowest doc_id of its class) and kept (whether it is that document)."""
-    found = near_classes(docs).select(F.col("t").alias("__t"), F.col("class_id").alias("__c"))
+    found = near_classes(docs).select(F.col("t").alias("__t"), F.col("first").alias("__c"))
     out = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).join(found, "__t", "left")
     last = F.lit(2**63 - 1)
-    return out.withColumns({
-        "class_id": F.when(F.col("__c") != last, F.col("__c")), "kept": F.coalesce(F.col("doc_id"), last) == F.col("__c"),
-    }).drop("__t", "__c")
+    own = (F.coalesce(F.col("doc_id"), last) == F.col("__c.d")) & (F.col("__t") == F.col("__c.t"))
+    return out.withColumns({"class_id": F.when(F.col("__c.d") != last, F.col("__c.d")), "kept": own}).drop("__t", "__c")
