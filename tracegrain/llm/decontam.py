@@ -39,6 +39,9 @@ BLOCK_BYTES = 8_000_000
 _TOKEN = re.compile(r"\w+")
 _A = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ^ 0xD1B54A32D192ED03 * (i + 1)) % 2**64 | 1 for i in range(HASHES)], np.uint64)
 _B = np.uint64(0x9FB21C651E98DF25)
+_LOW = np.uint64((1 << 20) - 1)
+#: Shingles that are looked at together.
+STEP = 4096
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -78,7 +81,7 @@ class Items:
         for key, members in self.classes.items():
             every = np.stack([(self.hashes[k][1][:, None] * _A).min(axis=0) for k in members])
             seen = np.zeros(1 << 20, bool)
-            seen[every >> np.uint64(44)] = True
+            seen[every & _LOW] = True
             by: dict[tuple[int, int], list[int]] = {}
             for k, row in zip(members, every, strict=True):
                 for j, m in enumerate(row):
@@ -88,28 +91,33 @@ class Items:
     def candidates(self, hashes: dict[int, np.ndarray]) -> set[int]:
         found: set[int] = set()
         for n in {n for n, _ in self.tables}:
-            h = hashes[n]
-            if not len(h):
-                continue
             levels = sorted(c for k, c in self.tables if k == n)
-            low = levels[0]
-            pad = (-len(h)) % (1 << low)
-            if pad:
-                h = np.concatenate([h, np.repeat(h[-1:], pad)])
-            blocks = h.reshape(-1, 1 << low)
-            minima = [(blocks * a).min(axis=1) for a in _A]
-            at = low
-            for c in levels:
-                while at < c:
-                    minima = [np.minimum(m[::2], np.append(m[1::2], m[-1:]) if len(m) % 2 else m[1::2]) for m in minima]
-                    at += 1
-                seen, by = self.tables[n, c]
-                for j, m in enumerate(minima):
-                    both = np.minimum(m[:-1], m[1:]) if len(m) > 1 else m
-                    for x in both[seen[both >> np.uint64(44)]]:
-                        found.update(by.get((j, int(x)), ()))
+            top = 1 << levels[-1]
+            step = -(-STEP // top) * top
+            # parts overlap by a block of the highest class, so that no window is cut
+            for start in range(0, len(hashes[n]), step):
+                self._find(hashes[n][start : start + step + top], n, levels, found)
         return found
 
+    def _find(self, h: np.ndarray, n: int, levels: list[int], found: set[int]) -> None:
+        low = levels[0]
+        pad = (-len(h)) % (1 << low)
+        if pad:
+            h = np.concatenate([h, np.repeat(h[-1:], pad)])
+        minima = (h.reshape(-1, 1 << low, 1) * _A).min(axis=1)  # blocks by hashes
+        at = low
+        for c in levels:
+            while at < c:
+                if len(minima) % 2:
+                    minima = np.concatenate([minima, minima[-1:]])
+                minima = np.minimum(minima[::2], minima[1::2])
+                at += 1
+            seen, by = self.tables[n, c]
+            both = np.minimum(minima[:-1], minima[1:]) if len(minima) > 1 else minima
+            row, j = np.nonzero(seen[both & _LOW])
+            for key in zip(j.tolist(), both[row, j].tolist(), strict=True):
+                found.update(by.get(key, ()))
+
     def search(self, text: str) -> list[tuple[int, int, int]]:
         """(item's place, distinct shingles in common, the item's) of the items that the text contains."""
         with np.errstate(over="ignore"):

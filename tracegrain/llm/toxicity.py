@@ -22,7 +22,6 @@ and a clean label every score is 0; repeated rows get equal scores.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,7 +34,6 @@ from .common import cut
 
 #: Bounds of what is learnt from: documents; features; occurrences of features.
 MAX_DOCS, MAX_FEATURES, MAX_HITS = 12_000, 4096, 4_000_000
-BITS = 20
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _TOKEN = re.compile(r"\w+")
 
@@ -44,10 +42,14 @@ def sentences(text: str | None) -> list[str]:
     return _SENTENCE.split(text or "")
 
 
-def features(word: str) -> set[int]:
-    w = f"^{word}$".encode("utf-8", "replace").decode("utf-8")
-    grams = {w} | {w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1)}
-    return {(h ^ h >> BITS) & ((1 << BITS) - 1) for h in (zlib.crc32(g.encode()) for g in grams)}
+def features(word: str) -> list[str]:
+    """The word, marked at both ends, and its runs of four and five characters; some may repeat."""
+    w = f"^{word}$"
+    return [w, *[w[i : i + 4] for i in range(len(w) - 3)], *[w[i : i + 5] for i in range(len(w) - 4)]]
+
+
+def weight_of(word: str, weights: dict[str, float]) -> float:
+    return sum(weights[f] for f in sorted({f for f in features(word) if f in weights}))
 
 
 def _count(batches):
@@ -55,21 +57,21 @@ def _count(batches):
     toxic, docs, memo = Counter(), Counter(), {}
     for pdf in batches:
         for label, text in zip(pdf["label"], pdf["text"], strict=True):
-            seen: set[int] = set()
+            seen: set[str] = set()
             for w in set(_TOKEN.findall(text.lower())):
                 f = memo.get(w)
                 if f is None:
                     if len(memo) > 100_000:
                         memo.clear()
                     f = memo[w] = features(w)
-                seen |= f
+                seen.update(f)
             docs.update(seen)
             if label:
                 toxic.update(seen)
     yield pd.DataFrame([(f, toxic[f], n) for f, n in docs.items()], columns=["feature", "toxic", "docs"])
 
 
-def _encode(chosen: dict[int, int]):
+def _encode(chosen: dict[str, int]):
     """(label, text) to (label, features of words, their sentences, number of sentences)."""
 
     def f(batches):
@@ -85,7 +87,7 @@ def _encode(chosen: dict[int, int]):
                         if own is None:
                             if len(memo) > 500_000:
                                 memo.clear()
-                            own = memo[w] = [chosen[x] for x in features(w) if x in chosen]
+                            own = memo[w] = sorted({chosen[x] for x in features(w) if x in chosen})
                         ids += own
                         at += [i] * len(own)
                 rows.append((int(label), np.array(ids, np.int32).tobytes(), np.array(at, np.int32).tobytes(), len(every)))
@@ -128,7 +130,7 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[dict[int, float], float]:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[dict[str, float], float]:
     """(weights by feature, bias) from the bounded sample of the labelled rows."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     sample = (
@@ -142,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple
     if not 0 < toxic < n:
         return {}, -40.0
     base = toxic / n
-    counts = rows.select("label", "text").mapInPandas(_count, "feature int, toxic long, docs long")
+    counts = rows.select("label", "text").mapInPandas(_count, "feature string, toxic long, docs long")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
     surely = (F.col("toxic") - F.col("docs") * base) / F.sqrt(F.col("docs") * (base * (1 - base)))
     best = counts.withColumn("z", surely).where("docs >= 3 and z >= 4").orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
@@ -161,31 +163,34 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple
     return {f: float(v[i]) for f, i in chosen.items() if v[i] > 0}, b
 
 
-def score(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
     """``docs`` with score, predicted, worst (index of the worst sentence) and offending (those of 0.5 or more)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES numbers
 
     @F.pandas_udf("struct<score:double,worst:int,offending:array<int>>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         weights, bias = shared.value
-        memo: dict[str, float] = {}
+        known: set[str] = set()
+        heavy: dict[str, float] = {}
+        none = np.empty(0, np.int32)
         for texts in batches:
             rows = []
             for text in texts:
-                zs = []
-                for s in sentences(text):
-                    z = bias
-                    for word in set(_TOKEN.findall(s.lower())):
-                        v = memo.get(word)
-                        if v is None:
-                            if len(memo) > 500_000:
-                                memo.clear()
-                            v = memo[word] = sum(weights.get(f, 0.0) for f in sorted(features(word)))
-                        z += v
-                    zs.append(z)
-                p = 1 / (1 + np.exp(-np.clip(np.array(zs), -30, 30)))
+                own = set(_TOKEN.findall(text.lower()))
+                if len(known) > 1_000_000:
+                    known, heavy = set(), {}
+                for word in own - known:
+                    known.add(word)
+                    v = weight_of(word, weights)
+                    if v:
+                        heavy[word] = v
+                every = sentences(text)
+                p = np.full(len(every), 1 / (1 + np.exp(-bias)))
+                if not own.isdisjoint(heavy):
+                    zs = [bias + sum(heavy.get(w, 0.0) for w in sorted(set(_TOKEN.findall(s.lower())))) for s in every]
+                    p = 1 / (1 + np.exp(-np.clip(zs, -30, 30)))
                 whole = float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
-                rows.append((whole, int(p.argmax()), np.flatnonzero(p >= 0.5).astype(np.int32)))
+                rows.append((whole, int(p.argmax()), np.flatnonzero(p >= 0.5).astype(np.int32) if whole >= 0.5 else none))
             yield pd.DataFrame(rows, columns=["score", "worst", "offending"])
 
     tox = scored(F.coalesce("text", F.lit("")))
