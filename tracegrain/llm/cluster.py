@@ -1,12 +1,17 @@
 """Classes of similar texts from shared buckets, without all pairs of a bucket.
 
-Members of a bucket are first compared with one of them, its centre, alone.
-Texts linked that way fall into classes.  Only where a bucket still holds more
-than one class can a link be missing; there, members of different classes are
-compared too, all but those that the triangle inequality rules out: distances d
-to the same centre that differ by more than the limit.  So no link between two
+Members of a bucket are first compared with one of them, its centre, alone: the
+member that meets most others over all its buckets, which among near copies is
+the text that they vary.  Texts linked that way fall into classes.  Only where a
+bucket still holds more than one class can a link be missing; there a second
+centre, the strongest member outside the first one's class, is tried in the same
+way.  What then is left is compared across classes, so no link between two
 classes is lost, however large a bucket is, and a bucket of a thousand near
-copies costs a thousand comparisons.
+copies costs about a thousand comparisons.
+
+Every text carries a bit sketch.  Two texts whose sketches differ in more than
+``differ`` bits can't be linked (for certain, or with a stated chance), and the
+joins leave such pairs out before they make a row.
 
 Comparisons run in groups of a centre and at most ``GROUP`` others, so a text
 that thousands are compared with is sent once for each group.
@@ -17,20 +22,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 GROUP = 64
+STARS = 2
 ROUNDS = 60
 
 
-def compared(pairs: DataFrame, texts: DataFrame, distances: Callable[[str, list[str]], list[float]]) -> DataFrame:
-    """(a, b, d) for distinct (a, b); texts: (t, text)."""
+def _plain(df: DataFrame) -> DataFrame:
+    """``df``, about whose columns the optimizer knows nothing.
+
+    Checkpoints keep what filters and joins imply about columns, and over the
+    rounds of a loop the optimizer would infer exponentially more from it.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def compared(pairs: DataFrame, texts: DataFrame, linked: Callable[[str, list[str]], list[bool]]) -> DataFrame:
+    """The (a, b) of the distinct ``pairs`` that are linked; texts: (t, text)."""
     groups = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("g")))
-    pairs = pairs.join(groups, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("g")))
-    pairs = cut(pairs)
+    pairs = cut(pairs.join(groups, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("g"))))
     others = pairs.select("a", "g", F.col("b").alias("t"))
     centres = pairs.select("a", "g", F.col("a").alias("t")).distinct()
     rows = others.unionByName(centres).join(texts, "t")
@@ -39,9 +53,10 @@ def compared(pairs: DataFrame, texts: DataFrame, distances: Callable[[str, list[
         a = pdf["a"].iloc[0]
         own = pdf["t"] == a
         rest = pdf[~own].drop_duplicates("t")
-        return pd.DataFrame({"a": a, "b": rest["t"], "d": distances(pdf["text"][own].iloc[0], list(rest["text"]))})
+        got = linked(pdf["text"][own].iloc[0], list(rest["text"]))
+        return pd.DataFrame({"a": a, "b": rest["t"][pd.Series(got, index=rest.index, dtype=bool)]})
 
-    return rows.groupBy("a", "g").applyInPandas(f, "a long, b long, d double")
+    return rows.groupBy("a", "g").applyInPandas(f, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -50,16 +65,16 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star rounds in turn; a component's diameter shrinks
     exponentially.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    edges = cut(_plain(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()))
     before = None
     for _ in range(ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        edges = cut(edges)
+        edges = cut(_plain(edges))
         low = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
         down = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        edges = cut(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(_plain(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct()))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -69,37 +84,54 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("t"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("t"), F.col("v").alias("label")).distinct())
 
 
+def _near(x: str, y: str, differ: int) -> Column:
+    """Whether two sketches, arrays of equal length, differ in at most so many bits."""
+    bits = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(bits, F.lit(0), lambda s, n: s + n) <= differ
+
+
 def classes(
-    members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], distances: Callable[[str, list[str]], list[float]], limit: float
+    members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], linked: Callable[[str, list[str]], list[bool]], differ: int
 ) -> DataFrame:
     """(t, label) of the texts that are linked to another one, and no other rows.
 
-    members: (b, t, c, indexed), rows of buckets with at least two different t,
-    c being the centre, an indexed member; two members that are not indexed need
-    no comparison.  texts_of: (t) to (t, text) of the same texts.
+    members: (b, t, indexed), rows of buckets with at least two different t; two
+    members that are not indexed need no comparison.  texts_of: (t) to
+    (t, text, sketch) of the same texts.
     """
     members = cut(members)
-    texts = cut(texts_of(members.select("t").union(members.select("c")).distinct()))
-    stars = members.where("t != c").select(F.col("c").alias("a"), F.col("t").alias("b")).distinct()
-    first = cut(compared(stars, texts, distances))
-    label = cut(components(first.where(F.col("d") <= limit)))
-    named = members.join(first.select(F.col("a").alias("c"), F.col("b").alias("t"), "d"), ["c", "t"], "left")
-    named = named.withColumn("d", F.coalesce("d", F.lit(0.0)))  # the centre itself
-    named = cut(named.join(label, "t", "left").withColumn("label", F.coalesce("label", "t")))
-    still = named.groupBy("b").agg(
-        F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.when(F.col("t") == F.col("c"), F.col("label"))).alias("of_centre")
-    )
-    still = cut(still.where("x < y").select("b", "of_centre"))
-    left = named.join(still, "b")
-    some = left.where("label != of_centre").select("b", F.col("t").alias("t1"), F.col("label").alias("l1"), F.col("d").alias("d1"), F.col("indexed").alias("i1"))
-    every = cut(left).where("t != c").select("b", F.col("t").alias("t2"), F.col("label").alias("l2"), F.col("d").alias("d2"), F.col("indexed").alias("i2"))
-    cross = some.where("b is not null").join(every, "b").where(
-        (F.col("l1") != F.col("l2")) & (F.col("i1") | F.col("i2")) & (F.abs(F.col("d1") - F.col("d2")) <= limit + 1e-9)
-    )
-    cross = cross.where(F.col("t1") != F.col("t2")).select(F.greatest("t1", "t2").alias("a"), F.least("t1", "t2").alias("b")).distinct()
-    done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    second = cut(compared(cut(cross.join(done, ["a", "b"], "left_anti")), texts, distances).where(F.col("d") <= limit))
-    links = label.where("t != label").select(F.col("t").alias("a"), F.col("label").alias("b"))
-    if second.isEmpty():
-        return label
-    return components(links.unionByName(second.select("a", "b")))
+    sizes = cut(members.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
+    met = cut(members.join(sizes, "b").groupBy("t").agg(F.sum("n").alias("met")))
+    texts = cut(texts_of(met.select("t")))
+    rows = cut(members.join(met.join(texts.select("t", "sketch"), "t"), "t").withColumn("label", F.col("t")))
+    rows = rows.withColumn("c0", F.lit(None).cast("long"))
+    texts = texts.select("t", "text")
+    links, label = None, None
+
+    def more(pairs: DataFrame) -> DataFrame:
+        nonlocal links
+        found = cut(compared(cut(pairs.distinct()), texts, linked))
+        links = found if links is None else links.unionByName(found)
+        return cut(components(links))
+
+    for star in range(STARS):
+        strongest = F.struct("met", "t")
+        if star:
+            outside = rows.where(F.col("indexed") & (F.col("label") != F.col("of_first")))
+        else:
+            outside = rows.where("indexed")
+        centres = cut(outside.groupBy("b").agg(F.max_by(F.struct("t", "label", "sketch"), strongest).alias("c")))
+        pairs = rows.join(centres, "b").where((F.col("label") != F.col("c.label")) & _near("sketch", "c.sketch", differ))
+        label = more(pairs.select(F.col("c.t").alias("a"), F.col("t").alias("b")))
+        rows = rows.join(centres.select("b", F.col("c.t").alias("c1")), "b", "left").withColumn("c0", F.coalesce("c0", "c1")).drop("c1", "label", "of_first")
+        rows = cut(_plain(rows.join(label, "t", "left").withColumn("label", F.coalesce("label", "t"))))
+        still = rows.groupBy("b").agg(
+            F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.when(F.col("t") == F.col("c0"), F.col("label"))).alias("of_first")
+        )
+        rows = cut(_plain(rows.join(cut(still.where("x < y").select("b", "of_first")), "b")))
+        if rows.isEmpty():
+            return label
+    some = rows.where("label != of_first").select("b", F.col("t").alias("t1"), F.col("label").alias("l1"), F.col("sketch").alias("s1"), F.col("indexed").alias("i1"))
+    every = cut(rows).select("b", F.col("t").alias("t2"), F.col("label").alias("l2"), F.col("sketch").alias("s2"), F.col("indexed").alias("i2"))
+    cross = cut(some).join(every, "b").where((F.col("l1") != F.col("l2")) & (F.col("i1") | F.col("i2")) & _near("s1", "s2", differ))
+    return more(cross.select(F.greatest("t1", "t2").alias("a"), F.least("t1", "t2").alias("b")))

@@ -24,6 +24,7 @@ lines; an empty table gives no rows.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,6 @@ from . import cluster
 from .common import cut
 
 MOST = 2
-BAND = 4
-FAR = BAND + 1.0
 
 
 def edits(length: Column) -> Column:
@@ -98,7 +97,7 @@ def keys(lines: DataFrame) -> DataFrame:
     return out.select("k.b", "t", "k.indexed")
 
 
-def edit_distance(a: str, b: str, most: int = BAND) -> int:
+def edit_distance(a: str, b: str, most: int = MOST) -> int:
     """The edit distance, or most + 1 if it is larger: bit vectors along a band of the matrix."""
     if a == b:
         return 0
@@ -132,7 +131,7 @@ def edit_distance(a: str, b: str, most: int = BAND) -> int:
         hn = d0 & vp
         if not d0 & diagonal:
             score += 1
-            if score > most + 1 + most:
+            if score > 2 * most:
                 return most + 1
         down = d0 >> 1
         vp = hn | (~(down | hp) & mask)
@@ -144,15 +143,26 @@ def edit_distance(a: str, b: str, most: int = BAND) -> int:
     return min(score, most + 1)
 
 
-def distances(centre: str, others: list[str]) -> list[float]:
-    """Edits; FAR for more than the pair may have, so that one limit serves all lengths."""
-    out = []
+def parities(line: str) -> int:
+    """Bit i: whether an odd number of code points is i modulo 64.  An edit changes two bits at most."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return int(np.bitwise_xor.reduce(np.uint64(1) << (codes & 63).astype(np.uint64)).view(np.int64)) if len(codes) else 0
+
+
+def linked(centre: str, others: list[str]) -> list[bool]:
+    """Whether the edits are as few as the longer line may have."""
+    own, out = parities(centre), []
     for x in others:
-        d, n = edit_distance(centre, x), max(len(centre), len(x))
-        out.append(float(d) if d <= (2 if n >= 20 else 1 if n >= 10 else 0) or d > BAND else max(d, MOST + 1.0))
+        n = max(len(centre), len(x))
+        most = 2 if n >= 20 else 1 if n >= 10 else 0
+        out.append((own ^ parities(x)).bit_count() <= 2 * most and edit_distance(centre, x, most) <= most)
     return out
 
 
+def _sketch(lines: pd.Series) -> pd.Series:
+    return pd.Series([[parities(x)] for x in lines])
+
+
 def line_classes(docs: DataFrame) -> DataFrame:
     """(t, label) of the distinct lines that have near duplicates."""
     texts = docs.select("text").where("text is not null")
@@ -160,14 +170,15 @@ def line_classes(docs: DataFrame) -> DataFrame:
     found = keys(lines).repartition("b")
     by = Window.partitionBy("b")
     found = found.withColumns({
-        "c": F.min(F.when(F.col("indexed"), F.col("t"))).over(by), "x": F.min("t").over(by), "y": F.max("t").over(by),
-    }).where("c is not null and x < y")
-    members = cut(found.groupBy("b", "t", "c").agg(F.max("indexed").alias("indexed")))
+        "c": F.max("indexed").over(by), "x": F.min("t").over(by), "y": F.max("t").over(by),
+    }).where("c and x < y")
+    members = found.groupBy("b", "t").agg(F.max("indexed").alias("indexed"))
 
     def texts_of(names: DataFrame) -> DataFrame:
-        return lines.select(F.xxhash64("line").alias("t"), F.col("line").alias("text")).join(names, "t").dropDuplicates(["t"])
+        own = lines.select(F.xxhash64("line").alias("t"), F.col("line").alias("text")).join(names, "t").dropDuplicates(["t"])
+        return own.withColumn("sketch", F.pandas_udf(_sketch, "array<long>")("text"))
 
-    return cluster.classes(members, texts_of, distances, float(MOST))
+    return cluster.classes(members, texts_of, linked, 2 * MOST)
 
 
 def line_rows(docs: DataFrame) -> DataFrame:

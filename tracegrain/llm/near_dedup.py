@@ -8,15 +8,17 @@ probability of their weighted Jaccard similarity.  Ranks are thrown cell by cell
 each as wide as all before it; once every coordinate has a dart, no later cell
 matters, so long documents throw few darts for each unit and short ones many.
 
-Signatures of 24 bands of 4 rows meet a document of similarity 0.8 with a chance
-of 1 - 3e-6.  What shares a band is verified by its exact weighted Jaccard
-similarity, 0.8 or more, and grouped (cluster.py).  Equal texts are one element
-of the join and meet again at the end.
+Signatures of 48 bands of 8 rows meet a document of similarity 0.8 with a chance
+of 1 - 2e-4, and one of 0.4, such as texts that share a passage, with 3 %.  What
+shares a band is verified by its exact weighted Jaccard similarity, 0.8 or more,
+and grouped (cluster.py); pairs are left out where one bit of each dart differs
+in more than ``DIFFER`` of 384, six standard deviations above the mean at 0.8.
+Equal texts are one element of the join and meet again at the end.
 
 Texts are named by 64-bit hashes: among 1e9 different texts, two get one name
 with a chance of 3 %, and would then count as copies.
 
-Scale: signatures are 200 bytes for each distinct text.  Texts are shuffled
+Scale: signatures are 440 bytes for each distinct text.  Texts are shuffled
 once, to meet the names of those that share a band; only these are kept.
 
 Edge cases: null texts are empty; all texts without a word are alike only if
@@ -36,10 +38,11 @@ from . import cluster
 from .common import cut, word_hashes, words
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 48, 8
 K = BANDS * ROWS
+DIFFER = 74
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
-FIRST_CELL = 2.0**-6
+FIRST_CELL = 1.0
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -92,25 +95,30 @@ def _cell(m: int) -> tuple[float, float, np.ndarray]:
 def signature(u: np.ndarray) -> np.ndarray:
     """The K darts that stay, by coordinate."""
     rank, dart = np.full(K, np.inf), np.zeros(K, np.uint64)
+    open_ = np.ones(K, bool)
     m = 0
     while True:
         low, width, cdf = _cell(m)
         e = _mix(u + np.uint64(m + 1) * _C3)
         p = (e >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        some = np.flatnonzero(p >= cdf[0])
-        if len(some):
-            n = np.searchsorted(cdf, p[some], side="right")
-            i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            d = _mix(np.repeat(e[some], n) * _C2 + i.astype(np.uint64) + np.uint64(1))
+        n = np.searchsorted(cdf, p, side="right")
+        i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        d = _mix(np.repeat(e, n) * _C2 + i.astype(np.uint64) + np.uint64(1))
+        c = ((d >> np.uint64(32)) * np.uint64(K) >> np.uint64(32)).astype(np.int64)
+        # a later cell only has higher ranks
+        some = open_[c]
+        if not some.all():
+            d, c = d[some], c[some]
+        if len(d):
             r = low + width * ((_mix(d) >> np.uint64(11)).astype(np.float64) * 2.0**-53)
-            c = ((d >> np.uint64(32)) * np.uint64(K) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((d, r))[::-1]
+            order = np.argsort(r)[::-1]
             best = np.full(K, -1)
             best[c[order]] = order  # the last written, the lowest rank, stays
-            own = (best >= 0) & np.isinf(rank)
+            own = np.flatnonzero(best >= 0)
             rank[own], dart[own] = r[best[own]], d[best[own]]
-        if np.isfinite(rank).all():
-            return dart
+            open_[own] = False
+            if not open_.any():
+                return dart
         m += 1
 
 
@@ -122,21 +130,28 @@ def bands(dart: np.ndarray) -> np.ndarray:
     return _mix(out).view(np.int64)
 
 
+def sketch(dart: np.ndarray) -> np.ndarray:
+    """A bit of each dart, 64 to a number."""
+    return np.packbits((dart >> np.uint64(7)).astype(np.uint8) & 1).view(np.int64)
+
+
 def _sign(batches):
     memo: dict[str, int] = {}
     with np.errstate(over="ignore"):
         for pdf in batches:
-            names, out = [], []
+            names, out, bits = [], [], []
             for t, text in zip(pdf["t"], pdf["text"], strict=True):
                 h = word_hashes(words(text), memo)
                 if len(h):
+                    dart = signature(units(elements(h)))
                     names.append(t)
-                    out.append(bands(signature(units(elements(h)))))
-            yield pd.DataFrame({"t": np.array(names, np.int64), "bands": out})
+                    out.append(bands(dart))
+                    bits.append(sketch(dart))
+            yield pd.DataFrame({"t": np.array(names, np.int64), "bands": out, "sketch": bits})
 
 
-def distances(centre: str, others: list[str]) -> list[float]:
-    """1 - weighted Jaccard similarity, exactly."""
+def linked(centre: str, others: list[str]) -> list[bool]:
+    """Whether the weighted Jaccard similarity, exactly, is SIMILAR or more."""
     memo: dict[str, int] = {}
 
     def of(text: str):
@@ -144,12 +159,15 @@ def distances(centre: str, others: list[str]) -> list[float]:
             return np.unique(elements(word_hashes(words(text), memo)), return_counts=True)
 
     x, cx = of(centre)
-    out = []
+    n, out = int(cx.sum()), []
     for text in others:
         y, cy = of(text)
-        _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-        both = int(np.minimum(cx[i], cy[j]).sum())
-        out.append(1 - both / (int(cx.sum() + cy.sum()) - both))
+        at = np.searchsorted(x, y)
+        at[at == len(x)] = 0
+        hit = x[at] == y
+        both = int(np.minimum(cx[at[hit]], cy[hit]).sum())
+        # both / either >= 0.8, in whole numbers
+        out.append(5 * both >= 4 * (n + int(cy.sum()) - both))
     return out
 
 
@@ -162,17 +180,18 @@ def named(docs: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame) -> DataFrame:
     """(t, d, first): for each distinct text its lowest doc_id, and the (d, t) of the document that its class keeps."""
     rows = named(docs)
-    signed = rows.select("t", "text").mapInPandas(_sign, "t long, bands array<long>")
-    signed = cut(signed.groupBy("t").agg(F.first("bands").alias("bands")))
+    signed = rows.select("t", "text").mapInPandas(_sign, "t long, bands array<long>, sketch array<long>")
+    signed = cut(signed.groupBy("t").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     bt = signed.select("t", F.explode("bands").alias("b"))
-    centres = bt.groupBy("b").agg(F.min("t").alias("c"), F.max("t").alias("m")).where("c < m").select("b", "c")
-    members = bt.join(cut(centres), "b").withColumn("indexed", F.lit(True))
+    shared = bt.groupBy("b").agg(F.min("t").alias("c"), F.max("t").alias("m")).where("c < m").select("b")
+    members = bt.join(cut(shared), "b").withColumn("indexed", F.lit(True))
     owners = cut(rows.groupBy("t").agg(F.min("d").alias("d")))
 
     def texts_of(names: DataFrame) -> DataFrame:
-        return rows.join(names.join(owners, "t"), ["t", "d"]).select("t", "text")
+        own = names.join(owners, "t").join(signed.select("t", "sketch"), "t")
+        return rows.join(own, ["t", "d"]).select("t", "text", "sketch")
 
-    label = cluster.classes(members, texts_of, distances, 1 - SIMILAR + 1e-9)
+    label = cluster.classes(members, texts_of, linked, DIFFER)
     all_ = cut(owners.join(label, "t", "left").withColumn("label", F.coalesce("label", "t")))
     lowest = cut(all_.groupBy("label").agg(F.min(F.struct("d", "t")).alias("first")))
     return cut(all_.join(lowest, "label").select("t", "d", "first"))
