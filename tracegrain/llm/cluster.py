@@ -32,15 +32,6 @@ STARS = 2
 ROUNDS = 60
 
 
-def _plain(df: DataFrame) -> DataFrame:
-    """``df``, about whose columns the optimizer knows nothing.
-
-    Checkpoints keep what filters and joins imply about columns, and over the
-    rounds of a loop the optimizer would infer exponentially more from it.
-    """
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
 def compared(pairs: DataFrame, texts: DataFrame, linked: Callable[[str, list[str]], list[bool]]) -> DataFrame:
     """The (a, b) of the distinct ``pairs`` that are linked; texts: (t, text)."""
     groups = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("g")))
@@ -65,16 +56,16 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star rounds in turn; a component's diameter shrinks
     exponentially.
     """
-    edges = cut(_plain(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()))
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     before = None
     for _ in range(ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        edges = cut(_plain(edges))
+        edges = cut(edges)
         low = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
         down = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        edges = cut(_plain(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct()))
+        edges = cut(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -124,11 +115,11 @@ def classes(
         pairs = rows.join(centres, "b").where((F.col("label") != F.col("c.label")) & _near("sketch", "c.sketch", differ))
         label = more(pairs.select(F.col("c.t").alias("a"), F.col("t").alias("b")))
         rows = rows.join(centres.select("b", F.col("c.t").alias("c1")), "b", "left").withColumn("c0", F.coalesce("c0", "c1")).drop("c1", "label", "of_first")
-        rows = cut(_plain(rows.join(label, "t", "left").withColumn("label", F.coalesce("label", "t"))))
+        rows = cut(rows.join(label, "t", "left").withColumn("label", F.coalesce("label", "t")))
         still = rows.groupBy("b").agg(
             F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.when(F.col("t") == F.col("c0"), F.col("label"))).alias("of_first")
         )
-        rows = cut(_plain(rows.join(cut(still.where("x < y").select("b", "of_first")), "b")))
+        rows = cut(rows.join(cut(still.where("x < y").select("b", "of_first")), "b"))
         if rows.isEmpty():
             return label
     some = rows.where("label != of_first").select("b", F.col("t").alias("t1"), F.col("label").alias("l1"), F.col("sketch").alias("s1"), F.col("indexed").alias("i1"))

@@ -20,18 +20,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` and forget its lineage.
+    """Write ``df`` as a table, and read that: rows without lineage.
 
-    The rows go to the folder that ``spark.checkpoint.dir`` names, which every
+    The table lies in the folder that ``spark.checkpoint.dir`` names, which every
     executor shares, so a lost executor costs no recomputation.  Only where no
-    folder is set (a local session, such as a test) one is made.
+    folder is set (a local session, such as a test) one is made.  Unlike a
+    checkpoint, a table has its true size as statistics; those that a checkpoint
+    keeps are products over all joins before, and a loop's grow without bound.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="tables-"))
+        folder = _OWN[0]
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_of(column: str | Column) -> Column:
