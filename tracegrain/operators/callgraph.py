@@ -1,12 +1,13 @@
 """Call resolution and reachability over call graphs, as iterated joins.
 
-State is a DataFrame; every round joins only what the last one added.  Lineage
-is cut by checkpoint() each round, in the folder that the session names.
+State is a DataFrame; every round joins only what the last one added.  Each
+round is written as a table in the shared folder, so lineage doesn't grow.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +17,23 @@ from tracegrain.functions import scalars as S
 ROUNDS = 64
 
 
+_OWN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    """``df`` written as a table and read again: no lineage, and its true size as statistics.
+
+    Tables lie in the shared folder that ``spark.checkpoint.dir`` names; only
+    where none is set, as in tests, one is made.
+    """
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="tables-"))
+        folder = _OWN[0]
+    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def resolve_sinks(calls: DataFrame, aliases: DataFrame, safe: DataFrame, name: str = "name") -> DataFrame:
