@@ -147,7 +147,7 @@ def _sign(batches):
                     names.append(t)
                     out.append(bands(dart))
                     bits.append(sketch(dart))
-            yield pd.DataFrame({"t": np.array(names, np.int64), "bands": out, "sketch": bits})
+            yield pd.DataFrame({"t": np.array(names, np.int64), "bands": pd.Series(out, dtype=object), "sketch": pd.Series(bits, dtype=object)})
 
 
 def linked(centre: str, others: list[str]) -> list[bool]:
