@@ -40,7 +40,16 @@ def cut(df: DataFrame) -> DataFrame:
         folder = _OWN[0]
     path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table of a cut() that nothing reads any more: all that came of it has been cut since."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._table)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def text_of(column: str | Column) -> Column:

@@ -23,7 +23,8 @@ semi-join that Spark can split, so neither a passage that a third of the
 documents share nor a group of copies meets in one task: equal contexts become
 one row with a count.  Documents are named by a 128-bit hash of their text, so
 copies share one row of marks.  Texts are read three times; they are shuffled
-once, to meet their marks.
+once, to meet their marks.  The choices are written once, and their table is
+deleted when those that repeat have been written.
 
 Edge cases: null and empty texts have no words and keep the digest of the empty
 text; shorter documents than a window lose nothing; a repeated row is a document
@@ -40,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, word_hashes, words
+from .common import cut, forget, word_hashes, words
 
 WINDOW, SEED = 35, 9
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -171,9 +172,9 @@ def _twice(rows: DataFrame, *by: str) -> DataFrame:
 def marks(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(k1, k2, runs): for each text with repeated windows, the first window and the bits of the choices that have some."""
     texts = _texts(docs)
-    rows = texts.select("k1", "k2", "text").mapInPandas(_choose(window, seed), _SCHEMA)
-    level1 = rows.join(_twice(rows.select("h9"), "h9"), "h9", "left_semi")
-    level1 = cut(level1)
+    rows = cut(texts.select("k1", "k2", "text").mapInPandas(_choose(window, seed), _SCHEMA))
+    level1 = cut(rows.join(_twice(rows.select("h9"), "h9"), "h9", "left_semi"))
+    forget(rows)
     runs = level1.select(F.explode(F.array("right", "left")).alias("r"), "h9").where("r != 0")
     again = _twice(runs, "h9", "r")
     level2 = (
@@ -182,6 +183,7 @@ def marks(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
         .where("a or b").drop("a", "b", "right", "left")
     )
     level2 = cut(level2)
+    forget(level1)
     # the last level: contexts, one row each
     contexts = level2.groupBy("h9", "context").agg(
         F.count(F.lit(1)).alias("count"), F.min(F.struct("k1", "k2", "first", "n", "off")).alias("at")
