@@ -259,6 +259,32 @@ def test_op2_finds_the_article(spark):
     assert got[50]["text"] == got[51]["text"] == "" and got[52]["text"] == "just text" and got[52]["n_chars"] == 9
 
 
+def test_op2_keeps_what_few_pages_hold(spark):
+    """Pages of div elements only: rare headings, items and inline runs stay, what all pages hold goes."""
+    rows, want = [], {}
+    for i in range(24):
+        parts = [(f"Story {i}", f"<h1>Story {i}</h1>"), ("", "<p class='tool'>Print this page</p>"), (f"Words of page {i} come first.", f"<p>Words of page {i} come first.</p>")]
+        if i % 8 == 1:
+            parts.append((f"Rare heading {i}", f"<h2>Rare heading {i}</h2>"))
+        if i == 5:
+            parts.append(("It was not late but early on that day.", "<p>It was <b>not late</b> but <i>early</i> on <a href='x'>that day</a>.</p>"))
+        if i == 6:
+            parts += [("first thing", "<ul><li>first thing</li></ul>"), ("Call f now.", "<p>Call <code>f</code> now.</p>")]
+        if i in (7, 9):
+            parts.append(("Both of two pages", "<h3>Both of two pages</h3>"))
+        parts.append((f"The end of {i}.", f"<p>The end of {i}.</p>"))
+        want[i] = "\n".join(t for t, _ in parts if t)
+        rows.append((i, f"http://divs.example/{i}", f"<html><body><div class='content'>{''.join(h for _, h in parts)}</div></body></html>"))
+    schema = "page_id long, url string, html string"
+    for n in (1, 5):
+        got = html_wrapper.main_texts(spark.createDataFrame(rows, schema).repartition(n)).collect()
+        assert {r["page_id"]: r["text"] for r in got} == want
+    # equal wrappers of several tasks count as often as they come
+    same = [(i, "http://same.example/", f"<body><div class='content'><p class='tool'>Print this page</p><p>{'long text ' * 9}{i}</p></div></body>") for i in range(16)]
+    got = html_wrapper.main_texts(spark.createDataFrame(same, schema).repartition(4)).collect()
+    assert all(r["text"] == f"{'long text ' * 9}{r['page_id']}" for r in got)
+
+
 def test_empty_tables_give_no_rows(spark, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     assert substring.dedup_substrings(empty).count() == 0

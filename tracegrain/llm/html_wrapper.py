@@ -10,7 +10,9 @@ A wrapper's parts are then labelled: the region of the article (article or main
 elements, else a content container, else the deepest part with most of the text
 in slots), the parts that are no article (menus, headers, footers, sidebars,
 notices, adverts, forms, reader comments), and short constants of the template
-outside article elements.  Pages are read through their host's labels; a page
+outside article elements: texts that are equal on ``NEARLY`` of all pages.  Every
+text counts its pages through the merges, so what a few pages hold alone is no
+constant.  Pages are read through their host's labels; a page
 that lacks the host's region is labelled by itself.
 
 Scale: each task merges the wrappers of its pages by host, so html isn't
@@ -36,7 +38,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 16_000_000
 PARTS, DEEPEST, CONSTANT = 16, 100, 80
-MIN_PAGES = 8
+#: Pages that a host needs for constants, and the share of them that a constant is on.
+MIN_PAGES, NEARLY = 8, 0.9
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg object canvas math audio video textarea title xmp".split())
@@ -67,7 +70,7 @@ _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 class Node:
     """An element (or the root), a text slot ('#') or a repeated group ('()')."""
 
-    __slots__ = ("chars", "children", "constant", "noise", "opt", "rep", "sig", "text")
+    __slots__ = ("chars", "children", "constant", "noise", "opt", "pages", "rep", "sig", "text")
 
     def __init__(self, sig: str, noise: bool = False, text: str = ""):
         self.sig, self.noise, self.text = sig, noise, text
@@ -75,15 +78,16 @@ class Node:
         self.rep = self.opt = False
         self.constant: str | None = None
         self.chars = 0
+        self.pages = 1  # those that hold this text, at least
 
     def dump(self) -> list:
-        return [self.sig, self.noise * 1 + self.rep * 2 + self.opt * 4, self.constant, self.chars, [c.dump() for c in self.children]]
+        return [self.sig, self.noise * 1 + self.rep * 2 + self.opt * 4, self.constant, self.chars, self.pages, [c.dump() for c in self.children]]
 
     @staticmethod
     def load(x: list) -> Node:
         n = Node(x[0], bool(x[1] & 1))
-        n.rep, n.opt, n.constant, n.chars = bool(x[1] & 2), bool(x[1] & 4), x[2], x[3]
-        n.children = [Node.load(c) for c in x[4]]
+        n.rep, n.opt, n.constant, n.chars, n.pages = bool(x[1] & 2), bool(x[1] & 4), *x[2:5]
+        n.children = [Node.load(c) for c in x[5]]
         return n
 
 
@@ -208,7 +212,7 @@ def fold(children: list[Node]) -> list[Node]:
             run = children[i : i + width]
             j = i + width
             while len(run) == width and j + width <= len(children) and _key(children[j : j + width]) == _key(run):
-                run = [merge(a, b) for a, b in zip(run, children[j : j + width], strict=True)]
+                run = [merge(a, b, False) for a, b in zip(run, children[j : j + width], strict=True)]
                 j += width
             if j == i + width or len(run) < width:
                 out.append(children[i])
@@ -238,16 +242,17 @@ def wrapper(node: Node) -> Node:
     return out
 
 
-def merge(a: Node, b: Node) -> Node:
-    """The wrapper of what either describes."""
+def merge(a: Node, b: Node, apart: bool = True) -> Node:
+    """The wrapper of what either describes; ``apart``: they come of different pages."""
     out = Node(a.sig, a.noise and b.noise)
     out.rep, out.opt, out.chars = a.rep or b.rep, a.opt or b.opt, a.chars + b.chars
     if a.sig == "#":
         out.constant = a.constant if a.constant == b.constant else None
+        out.pages = a.pages + b.pages if apart else max(a.pages, b.pages)
         return out
     x, y = a.children, b.children
     if len(x) == len(y) and all(map(_same, x, y)):
-        out.children = [merge(p, q) for p, q in zip(x, y, strict=True)]
+        out.children = [merge(p, q, apart) for p, q in zip(x, y, strict=True)]
         return out
     # longest common subsequence of the signatures; the rest is optional
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
@@ -257,7 +262,7 @@ def merge(a: Node, b: Node) -> Node:
     i = j = 0
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and _same(x[i], y[j]):
-            out.children.append(merge(x[i], y[j]))
+            out.children.append(merge(x[i], y[j], apart))
             i, j = i + 1, j + 1
             continue
         if j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
@@ -283,7 +288,7 @@ def label(w: Node, pages: int) -> dict:
         if node.sig == "#":
             if gone:
                 return 0
-            if pages >= MIN_PAGES and not article and not node.rep and node.constant:
+            if pages >= MIN_PAGES and not article and not node.rep and node.constant and node.pages >= NEARLY * pages:
                 constants.add(f"{path}\n{node.constant}")
                 return 0
             return node.chars
@@ -435,7 +440,7 @@ def _rows(found: dict, part: int) -> pd.DataFrame:
 
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     out = None
-    for x in sorted(set(pdf["wrapper"])):
+    for x in sorted(pdf["wrapper"]):  # equal ones count too
         own = Node.load(json.loads(x))
         out = own if out is None else merge(out, own)
     return pd.DataFrame([(pdf["host"].iloc[0], int(pdf["part"].iloc[0]), json.dumps(out.dump()), int(pdf["pages"].sum()))], columns=list(pdf.columns))
