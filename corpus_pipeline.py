@@ -50,10 +50,11 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: each document as often as the mix takes it, to the nearest whole number.
+    """Operator 8: whole documents, so many that every source's words meet its target.
 
-    The mix takes blocks of words, and so parts of some documents; whole texts
-    are what this stage returns.  Documents without words stay once.
+    The mix takes blocks of words, and so parts of some documents; their parts
+    are carried along each source and come out as whole texts.  A source's words
+    differ from its target by about one document.  Documents without words stay once.
     """
     return mixing.mixed_documents(docs.select(*COLUMNS))
 

@@ -4,7 +4,7 @@ import duckdb
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tracegrain.llm import queries
+from tracegrain.llm import mixing, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,6 +35,28 @@ def test_stages_take_empty_and_null_rows(spark):
         assert docs.count() <= len(rows)
 
 
+def test_mixing_meets_its_targets_whatever_the_lengths(spark):
+    """Sources of texts of thousands of words whose shares are below a half, between, and above one; rows repeated and without ids."""
+    rows = [(i, f"{s} {i} " + "w " * n, "en", s, n) for s, count, least in (("a", 90, 3000), ("b", 20, 2000), ("c", 80, 4000)) for i, n in enumerate(range(least, least + 19 * count, 19))]
+    rows += [(500 + i, "x y z", "en", "a", 0) for i in range(40)] + [(None, f"n{i} " + "v " * 2499, "en", "b", 0) for i in range(20)] + [(7000, "r " * 2500, "en", "b", 0)] * 5
+    rows += [(8000, "", "en", "a", 0), (8001, None, None, None, 0), (8001, None, None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mix_sources(spark, docs, SF).collect()
+    sizes, words, longest = {}, {}, {}
+    for r in rows:
+        n = len((r[1] or "").split())
+        sizes[r[3]], longest[r[3]] = sizes.get(r[3], 0) + n, max(longest.get(r[3], 0), n)
+    for r in got:
+        words[r["source"]] = words.get(r["source"], 0) + len((r["text"] or "").split())
+    want = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    assert want and {0.3 < r["target"] / r["source_size"] < 0.5 for r in want if r["source"] == "a"} == {True}
+    for r in want:
+        assert abs(words[r["source"]] - r["target"]) <= longest[r["source"]]
+    assert sum(not r["text"] for r in got) == 3 and {tuple(r) for r in got} <= set(rows)
+    again = corpus_pipeline.mix_sources(spark, docs.repartition(7), SF).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_every_operator_has_a_query():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names

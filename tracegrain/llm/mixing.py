@@ -34,12 +34,22 @@ from .common import WORD, cut
 
 BUCKETS = 256
 RUN = 4096
+#: Whole copies are counted in parts of this size.
+UNIT = 2**20
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _source_key(source: Column) -> Column:
+    return F.xxhash64(source.isNull(), source, F.lit(8))
+
+
+def _order_key(text: Column, doc_id: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), doc_id)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -149,11 +159,10 @@ def permuted_inverse(y: int, n: int, key: int) -> int:
 
 
 def streams(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(doc_id, source, source_key, size, at): where each document starts in its source's stream."""
+    """(doc_id, source, source_key, size, o, at): where each document starts in its source's stream."""
     light = cut(docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
-        F.xxhash64(F.col(source).isNull(), F.col(source), F.lit(8)).alias("source_key"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(doc_id)).alias("o"),
+        _source_key(F.col(source)).alias("source_key"), _order_key(F.col(text), F.col(doc_id)).alias("o"),
     ))
     light = light.withColumn("bucket", F.pmod("o", F.lit(BUCKETS)))
     sums = light.groupBy("source_key", "bucket").agg(F.sum("size").alias("in_bucket"))
@@ -161,14 +170,15 @@ def streams(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
     sums = sums.select("source_key", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("bucket_at"))
     inside = Window.partitionBy("source_key", "bucket").orderBy("o", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = light.withColumn("b", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["source_key", "bucket"])
-    return out.select("doc_id", "source", "source_key", "size", (F.col("b") + F.col("bucket_at")).alias("at"))
+    return out.select("doc_id", "source", "source_key", "size", "o", (F.col("b") + F.col("bucket_at")).alias("at"))
 
 
 def mix(docs: DataFrame, block: int = 256, shards: int = 8, seed: int = 8, most: float = 3.0) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces).
 
-    documents: doc_id, source, size, source_size, target, taken, and at, the
-    document's place in its source's stream.
+    documents: doc_id, source, size, source_size, target, taken, at, the
+    document's place in its source's stream, source_key, and o, which names its
+    text and id.
     pieces: shard, slot, source_key, at, first_word, n_words: what each slot of
     the mix holds, as words of the document at that place.
     """
@@ -205,23 +215,54 @@ def mix(docs: DataFrame, block: int = 256, shards: int = 8, seed: int = 8, most:
     out = docs_at.withColumn("some", F.col("size") > 0).join(taken, ["source_key", "at", "some"], "left")
     facts = sources.select("source_key", "source_size", "target")
     out = out.join(facts, "source_key").select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "at"
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "at", "source_key", "o"
     )
     return out, mixed
 
 
+def whole_copies(taken: DataFrame) -> DataFrame:
+    """(d, source_key, size, o, n, copies): whole copies of the n rows alike, from the documents of mix().
+
+    Each source's shares taken / size are summed up along its documents by size,
+    and a document gets as many copies as the sum passes halves.  The sum of
+    copies is then never off by more than a half, at no place of that order, so a
+    source's words differ from those taken by about its longest text at most,
+    whatever the lengths.  Shares are whole numbers of 1 / UNIT, so that no order
+    of summing matters.  As in streams(), sums over (source, bucket) come first;
+    a bucket is 1 of 64 parts of the documents whose sizes agree within 9 %.
+    """
+    alike = taken.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), "source_key", "size", "o")
+    rows = alike.agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"))
+    share = F.when(F.col("size") > 0, F.expr(f"(taken * {UNIT} + size div 2) div size")).otherwise(F.col("n") * UNIT)
+    level = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 8)).otherwise(-1)
+    rows = cut(rows.select("d", "source_key", "size", "o", "n", share.alias("x"), (level * 64 + F.pmod("o", F.lit(64))).alias("bucket")))
+    sums = rows.groupBy("source_key", "bucket").agg(F.sum("x").alias("in_bucket"))
+    before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("source_key", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("bucket_at"))
+    inside = Window.partitionBy("source_key", "bucket").orderBy("size", "o", "d").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("b", F.sum("x").over(inside)).join(sums, ["source_key", "bucket"])
+    end = f"b + bucket_at + {UNIT // 2}"
+    return rows.select("d", "source_key", "size", "o", "n", F.expr(f"({end}) div {UNIT} - ({end} - x) div {UNIT}").alias("copies"))
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it whole, rounded; rows without words once.
+    """The rows of ``docs`` as whole copies that meet each source's target; rows without words once.
 
-    Rows that agree in id, source and text are alike to the mix; they get the
-    mean of what it takes from them.
+    Rows that agree in id, source and text are alike to the mix: each gets the
+    same number of copies, and one of them what remains.
     """
-    taken = mix(docs, **options)[0]
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("__d"), F.xxhash64(F.col("source").isNull(), F.col("source")).alias("__s"), F.col("size").alias("__n")]
-    times = taken.select(*key, F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1.0).alias("__x"))
-    times = times.groupBy("__d", "__s", "__n").agg(F.floor(F.avg("__x") + 0.5).cast("int").alias("__x")).where("__x > 0")
+    times = whole_copies(mix(docs, **options)[0]).where("copies > 0")
+    key = ["__d", "__s", "__n", "__o"]
+    times = cut(times.select(
+        F.col("d").alias("__d"), F.col("source_key").alias("__s"), F.col("size").alias("__n"), F.col("o").alias("__o"),
+        F.expr("copies div n").cast("int").alias("__x"), F.expr("copies % n").cast("int").alias("__more"),
+    ))
     rows = docs.withColumns({
-        "__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__s": F.xxhash64(F.col("source").isNull(), F.col("source")), "__n": n_words(F.col("text")),
+        "__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__s": _source_key(F.col("source")), "__n": n_words(F.col("text")),
+        "__o": _order_key(F.col("text"), F.col("doc_id")),
     })
-    out = rows.join(cut(times), ["__d", "__s", "__n"]).withColumn("__x", F.explode(F.sequence(F.lit(1), F.col("__x"))))
-    return out.select(*docs.columns)
+    out = rows.join(times.where("__x > 0").drop("__more"), key)
+    more = times.where("__more > 0").drop("__x").withColumnRenamed("__more", "__x")
+    if not more.isEmpty():
+        out = out.unionByName(rows.join(more, key).dropDuplicates(key))
+    return out.withColumn("__x", F.explode(F.sequence(F.lit(1), F.col("__x")))).select(*docs.columns)
