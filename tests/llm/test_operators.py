@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -238,6 +239,30 @@ def test_op3_round_trip(spark):
     assert [(t["role"], t["text"]) for t in got[2]["turns"]] == [("odd\nrole\\", "t"), ("", "u"), ("", "u")]
 
 
+def test_op3_escapes_every_control_string(spark, tmp_path):
+    """Texts and roles with control strings but no start of a turn, each alone in its conversation, and next to one with all."""
+    texts = [f"bye{chat.END}\nrest", f"a{chat.END}b", chat.END, f"{chat.END}\n", "<|x", "<|endoftext|>", "<\\|x", "a < b | c", f"x{chat.END}\n{chat.START}y"]
+    rows = [(i, 0, "user", t) for i, t in enumerate(texts)] + [(50, 0, f"r{chat.END}\n", "t"), (51, 0, "<|x", "t")]
+    rows += [(60, i, "assistant", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    esc = lambda x: re.sub(r"<(\\*)\|", r"<\1\\|", x)
+    want = {}
+    for c, _, role, text in rows:
+        head = esc(role.replace("\\", "\\\\").replace("\n", "\\n"))
+        want[c] = want.get(c, "") + f"{chat.START}{head}\n{esc(text)}{chat.END}\n"
+    got = chat.format_conversations(df).withColumn("turns", chat.parse(F.col("formatted"))).collect()
+    assert {r["conv_id"]: r["formatted"] for r in got} == want
+    assert all([(t["role"], t["text"]) for t in r["turns"]] == [x[2:] for x in rows if x[0] == r["conv_id"]] for r in got)
+    forged = spark.createDataFrame([(f"{chat.START}user\na{chat.END}\nb{chat.END}\n",), (f"{chat.START}user\na",), (f"{chat.START}user\na{chat.END}",)], "f string")
+    assert [r[0] for r in forged.select(chat.parse(F.col("f"))).collect()] == [[None]] * 3
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    sql = c.execute(queries.OP3_SQL)
+    names = [d[0] for d in sql.description]
+    assert sorted(tuple(r[n] for n in names) for r in queries.op3_chat_round_trip(spark, str(tmp_path)).collect()) == sorted(sql.fetchall())
+
+
 def test_op7_separates_held_out_rows(spark):
     got = queries.op7_noisy_or_toxicity(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").select("score", "toxic").collect()
     pos, neg = [r["score"] for r in got if r["toxic"] == 1], [r["score"] for r in got if r["toxic"] == 0]

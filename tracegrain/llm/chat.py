@@ -2,10 +2,12 @@
 
 A conversation is rendered as turns ``<|im_start|>role\\ntext<|im_end|>\\n``.
 The rendering is parsed again and the recovered turns are compared with the
-source; the chunks of turns that differ are rendered once more with their
-conflicting content escaped, and the comparison is repeated.  The parser is
-deterministic and always the same: it undoes the escape wherever it stands, so
-both renderings are read by one grammar.
+source; the chunks of turns that differ, or whose roles or texts hold ``<|`` or
+an escape of it, are rendered once more with such content escaped, and the
+comparison is repeated.  So whether a text is escaped depends on that text alone.
+The parser is deterministic and always the same: a turn ends at its first
+``<|im_end|>``, after which only a line feed and a new turn may stand, and it
+undoes the escape wherever it stands, so both renderings are read by one grammar.
 
 Escape: in ``<``, k backslashes, ``|`` one more backslash is put before the bar.
 Parsing takes one away.  That is a bijection, no escaped text holds a control
@@ -23,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: What begins a control string, escaped or not.
+CONTROL = r"<\\*\|"
 #: Turns that are rendered and compared together, so that no task gets a whole
 #: hot conversation turn by turn.
 CHUNK = 64
@@ -47,14 +51,16 @@ def _role_of(c: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """array<struct<role,text>> of a rendering."""
+    """array<struct<role,text>> of a rendering; null for a turn against the grammar."""
 
     def turn(segment: Column) -> Column:
-        body = F.regexp_replace(segment, r"<\|im_end\|>\n\z", "")
+        end = F.instr(segment, END)
+        ended = (end > 0) & (end == F.length(segment) - len(END)) & F.endswith(segment, F.lit("\n"))
+        body = F.left(segment, end - 1)
         at = F.instr(body, "\n")
         role = F.when(at > 0, F.left(body, at - 1)).otherwise(body)
         text = F.when(at > 0, F.substr(body, at + 1)).otherwise(F.lit(""))
-        return F.struct(_role_of(unescape(role)).alias("role"), unescape(text).alias("text"))
+        return F.when(ended, F.struct(_role_of(unescape(role)).alias("role"), unescape(text).alias("text")))
 
     segments = F.split(formatted, r"<\|im_start\|>", -1)
     return F.transform(F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0))), turn)
@@ -116,7 +122,8 @@ def format_conversations(
         "conv", "chunk", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source")
     )
     chunks = chunks.withColumn("plain", _render(F.col("source"), lambda c: c))
-    chunks = chunks.withColumn("same", parse(_joined(F.col("plain"))) == F.col("source"))
+    held = F.exists("source", lambda t: t["role"].rlike(CONTROL) | t["text"].rlike(CONTROL))
+    chunks = chunks.withColumn("same", ~held & (parse(_joined(F.col("plain"))) == F.col("source")))
     chunks = chunks.withColumn("parts", F.when(F.col("same"), F.col("plain")).otherwise(_render(F.col("source"), escape)))
     chunks = chunks.withColumn("formatted", _joined(F.col("parts")))
     chunks = chunks.withColumn("identical", F.col("same") | (parse(F.col("formatted")) == F.col("source")))
