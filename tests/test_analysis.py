@@ -1,6 +1,6 @@
 import pytest
 
-from tracegrain.operators import findings, parse, patching, rename
+from tracegrain.operators import callgraph, findings, parse, patching, rename
 from tracegrain.plans import registry as R
 
 
@@ -77,6 +77,29 @@ def test_repair_until_clean(spark):
     assert r["applied"] == 3 and "os.path.basename(y)" in r["patched"]
 
 
+def test_repair_has_no_bound_on_patches_or_refusals(spark):
+    n = 25
+    many = f"def f({', '.join(f'x{i}' for i in range(n))}):\n" + "".join(f"    open(x{i})\n" for i in range(n))
+    refused = f"def f(x, y):\n{'    cursor.execute(x)' + chr(10)}" * n + "def g(y):\n    open(y)\n"
+    s = spark.createDataFrame([("many", many), ("refused", refused)], "path string, source string")
+    assert {r["path"]: r["applied"] for r in patching.repair(s).collect()} == {"many": n, "refused": 1}
+
+
+@pytest.mark.parametrize("loop", ["reach", "chains", "propagate"])
+def test_loops_follow_calls_to_their_end(spark, loop):
+    n = 66
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        edges = spark.range(0, n, 1, 1).selectExpr("id as src", "id + 1 as dst", "id as ord", "0 as from_idx", "0 as to_idx")
+        seeds = spark.range(0, 1, 1, 1).selectExpr("id as node", "id as fn", "0 as idx", "id as entry")
+        params = spark.range(0, n + 1, 1, 1).selectExpr("id as fn", "1 as n")
+        out = callgraph.propagate(params, edges, seeds) if loop == "propagate" else getattr(callgraph, loop)(edges, seeds)
+        assert sorted(r["fn" if loop == "propagate" else "node"] for r in out.collect()) == list(range(n + 1))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_suppression_partitions_findings(spark):
     s = spark.createDataFrame([(f"d/{n}.py", f"def f(x):\n    {c}(x)\n") for n, c in (("a", "eval"), ("b", "open"))], "path string, source string")
     f = findings.findings(parse.parse(s))

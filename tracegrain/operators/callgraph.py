@@ -1,11 +1,12 @@
 """Call resolution and reachability over call graphs, as iterated joins.
 
-State is a DataFrame; every round joins only what the last one added.  Each
-round is written as a table in the shared folder, so lineage doesn't grow.
+State is a DataFrame; every round joins only what the last one added, until
+that is nothing: what is known never comes again, so loops end.  Each round is written as a table in the shared folder, so lineage doesn't grow.
 """
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -14,8 +15,6 @@ from pyspark.sql import functions as F
 
 from tracegrain.functions import scalars as S
 
-ROUNDS = 64
-
 
 _OWN: list[str] = []
 
@@ -63,21 +62,20 @@ def entry_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(entry, node, depth): all nodes that each (node) of seeds reaches, with the fewest hops."""
     edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
     new = cut(seeds.select(F.col("node").alias("entry"), "node", F.lit(0).alias("depth")).distinct())
     every = new
-    for depth in range(1, rounds + 1):
+    for depth in itertools.count(1):
         step = new.join(edges, new.node == edges.src).select("entry", F.col("dst").alias("node")).distinct()
         new = cut(step.join(every.select("entry", "node"), ["entry", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             return every
         every = cut(every.unionByName(new))
-    return every
 
 
-def chains(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def chains(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(entry, node, chain): the first-found shortest chain from each entry to each node it reaches.
 
     edges: src, dst, ord; among chains of equal length, the one of the earlier
@@ -86,7 +84,7 @@ def chains(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFram
     edges = cut(edges.select("src", "dst", "ord").where("src <> dst"))
     new = cut(seeds.select(F.col("node").alias("entry"), "node", F.array("node").alias("chain"), F.array(F.lit(0).cast("long")).alias("queue")).dropDuplicates(["node"]))
     every = new
-    for _ in range(rounds):
+    while True:
         step = new.join(edges, new.node == edges.src).select(
             "entry", F.col("dst").alias("node"), F.concat("chain", F.array("dst")).alias("chain"), F.concat("queue", F.array(F.col("ord").cast("long"))).alias("queue")
         )
@@ -98,7 +96,7 @@ def chains(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFram
     return every.select("entry", "node", "chain")
 
 
-def propagate(params: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(params: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(fn, idx, entry): the parameters that taint reaches, and from which entries.
 
     params: fn, n.  seeds: fn, idx, entry.  edges: src, dst, from_idx (null: an
@@ -111,7 +109,7 @@ def propagate(params: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int
     outside = wide.where("from_idx is null").select(F.col("dst").alias("fn"), F.col("to_idx").alias("idx"), F.col("src").alias("entry"))
     new = cut(seeds.select("fn", "idx", "entry").unionByName(outside).distinct())
     every, inner = new, cut(wide.where("from_idx is not null"))
-    for _ in range(rounds):
+    while True:
         step = new.join(inner, (new.fn == inner.src) & (new.idx == inner.from_idx)).select(F.col("dst").alias("fn"), F.col("to_idx").alias("idx"), "entry").distinct()
         new = cut(step.join(every, ["fn", "idx", "entry"], "left_anti"))
         if new.isEmpty():

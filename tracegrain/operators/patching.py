@@ -83,9 +83,11 @@ def verify(proposals: DataFrame, sources: DataFrame) -> DataFrame:
     return out.withColumn("accepted", F.coalesce("accepted", F.lit(False)) & F.col("parses")).drop("patch")
 
 
-def repair(sources: DataFrame, rounds: int = 20) -> DataFrame:
+def repair(sources: DataFrame) -> DataFrame:
     """(path, patched, applied): patches applied one after another, the worklist being derived anew after each.
 
+    A file is done when every hit that is left has been tried; each patch leaves fewer hits.
+
     Only within a file does one patch depend on the last, so files run side by side.
     """
 
@@ -104,10 +106,7 @@ def repair(sources: DataFrame, rounds: int = 20) -> DataFrame:
             rows = []
             for path, source in zip(pdf["path"], pdf["source"], strict=True):
                 applied, tried = 0, set()
-                for _ in range(rounds):
-                    todo = [h for h in hits(source) if h not in tried]
-                    if not todo:
-                        break
+                while todo := [h for h in hits(source) if h not in tried]:
                     tried.add(todo[0])
                     out, _why = sanitise(source, *todo[0][1:])
                     if out is not None and len(hits(out)) < len(hits(source)):
