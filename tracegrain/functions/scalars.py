@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,6 +86,12 @@ def glob_regex(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)^"), F.replace(F.replace(F.replace(quoted, F.lit("[!"), F.lit("[^")), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
 
 
+def glob_pattern(glob: str) -> str:
+    """glob_regex() of one given pattern."""
+    quoted = re.sub(r"([.+(){}|^$\\])", r"\\\1", glob).replace("[!", "[^").replace("*", ".*").replace("?", ".")
+    return f"(?:(?s)^{quoted}$)"
+
+
 def fingerprint(source: Column) -> Column:
     """sha256 of the lines without indentation, blank lines and comment lines."""
     lines = F.transform(F.split(source, "\n", -1), lambda x: F.trim(x))

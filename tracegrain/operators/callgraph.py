@@ -7,32 +7,12 @@ that is nothing: what is known never comes again, so loops end.  Each round is w
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegrain.functions import scalars as S
-
-
-_OWN: list[str] = []
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as a table and read again: no lineage, and its true size as statistics.
-
-    Tables lie in the shared folder that ``spark.checkpoint.dir`` names; only
-    where none is set, as in tests, one is made.
-    """
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="tables-"))
-        folder = _OWN[0]
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tracegrain.operators.tables import Rounds, cut
 
 
 def resolve_sinks(calls: DataFrame, aliases: DataFrame, safe: DataFrame, name: str = "name") -> DataFrame:
@@ -65,14 +45,12 @@ def entry_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(entry, node, depth): all nodes that each (node) of seeds reaches, with the fewest hops."""
     edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    new = cut(seeds.select(F.col("node").alias("entry"), "node", F.lit(0).alias("depth")).distinct())
-    every = new
+    known = Rounds(seeds.select(F.col("node").alias("entry"), "node", F.lit(0).alias("depth")).distinct())
     for depth in itertools.count(1):
-        step = new.join(edges, new.node == edges.src).select("entry", F.col("dst").alias("node")).distinct()
-        new = cut(step.join(every.select("entry", "node"), ["entry", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
-            return every
-        every = cut(every.unionByName(new))
+        step = known.last.join(edges, F.col("node") == edges.src).select("entry", F.col("dst").alias("node")).distinct()
+        new = step.join(known.all().select("entry", "node"), ["entry", "node"], "left_anti")
+        if known.add(new.withColumn("depth", F.lit(depth))).isEmpty():
+            return known.all()
 
 
 def chains(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -82,18 +60,16 @@ def chains(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     parent and then of the earlier call is kept.
     """
     edges = cut(edges.select("src", "dst", "ord").where("src <> dst"))
-    new = cut(seeds.select(F.col("node").alias("entry"), "node", F.array("node").alias("chain"), F.array(F.lit(0).cast("long")).alias("queue")).dropDuplicates(["node"]))
-    every = new
+    start = seeds.select(F.col("node").alias("entry"), "node", F.array("node").alias("chain"), F.array(F.lit(0).cast("long")).alias("queue"))
+    known = Rounds(start.dropDuplicates(["node"]))
     while True:
-        step = new.join(edges, new.node == edges.src).select(
+        step = known.last.join(edges, F.col("node") == edges.src).select(
             "entry", F.col("dst").alias("node"), F.concat("chain", F.array("dst")).alias("chain"), F.concat("queue", F.array(F.col("ord").cast("long"))).alias("queue")
         )
-        step = step.join(every.select("entry", "node"), ["entry", "node"], "left_anti")
-        new = cut(step.groupBy("entry", "node").agg(F.min(F.struct("queue", "chain")).alias("x")).select("entry", "node", "x.chain", "x.queue"))
-        if new.isEmpty():
-            break
-        every = cut(every.unionByName(new))
-    return every.select("entry", "node", "chain")
+        step = step.join(known.all().select("entry", "node"), ["entry", "node"], "left_anti")
+        new = step.groupBy("entry", "node").agg(F.min(F.struct("queue", "chain")).alias("x")).select("entry", "node", "x.chain", "x.queue")
+        if known.add(new).isEmpty():
+            return known.all().select("entry", "node", "chain")
 
 
 def propagate(params: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -107,15 +83,12 @@ def propagate(params: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFram
         edges.join(every_param, "dst").where("to_idx is null or to_idx = p").select("src", "dst", "from_idx", F.col("p").alias("to_idx")).distinct()
     )
     outside = wide.where("from_idx is null").select(F.col("dst").alias("fn"), F.col("to_idx").alias("idx"), F.col("src").alias("entry"))
-    new = cut(seeds.select("fn", "idx", "entry").unionByName(outside).distinct())
-    every, inner = new, cut(wide.where("from_idx is not null"))
+    known, inner = Rounds(seeds.select("fn", "idx", "entry").unionByName(outside).distinct()), cut(wide.where("from_idx is not null"))
     while True:
-        step = new.join(inner, (new.fn == inner.src) & (new.idx == inner.from_idx)).select(F.col("dst").alias("fn"), F.col("to_idx").alias("idx"), "entry").distinct()
-        new = cut(step.join(every, ["fn", "idx", "entry"], "left_anti"))
-        if new.isEmpty():
-            break
-        every = cut(every.unionByName(new))
-    return every
+        step = known.last.join(inner, (F.col("fn") == inner.src) & (F.col("idx") == inner.from_idx))
+        step = step.select(F.col("dst").alias("fn"), F.col("to_idx").alias("idx"), "entry").distinct()
+        if known.add(step.join(known.all(), ["fn", "idx", "entry"], "left_anti")).isEmpty():
+            return known.all()
 
 
 def compose(targets: DataFrame, reached: DataFrame) -> DataFrame:

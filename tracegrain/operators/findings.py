@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,10 @@ from tracegrain.functions import scalars as S
 from tracegrain.plans import registry as R
 
 
+#: So many suppression rules may be given.
+MAX_RULES = 10_000
+
+
 def dangerous(hits: DataFrame, sinks: DataFrame) -> DataFrame:
     """(.., sink, position, keyword, splat) with category, cwe and danger: whether that argument matters.
 
@@ -75,10 +81,12 @@ def trace_id(function, sink, arg, origins, edges) -> Column:
 
 
 def contained(traces: DataFrame, scopes: DataFrame) -> DataFrame:
-    """``traces`` with guard_line: the first guard in the same scope that dominates a FILE sink.
+    """``traces`` with guard_line: the first containment test that dominates a FILE sink.
 
-    A range join: the guard stands before the sink, its reach covers it, and it
-    tests a name that the sink uses (or the sink uses none).
+    A range join: the guard stands before the sink in the same scope, its reach
+    covers it, and it tests a name that the sink uses (or the sink uses none).  In
+    a scope without guards, a sink that uses a function of the same file whose
+    every return a guard dominates has that function's guard.
     """
     g = scopes.where("error is null").select("path", "scope", F.explode("guards").alias("g")).select("path", "scope", "g.*")
     u = scopes.where("error is null").select("path", "scope", F.explode("sink_names").alias("u")).select(
@@ -89,7 +97,14 @@ def contained(traces: DataFrame, scopes: DataFrame) -> DataFrame:
         (F.col("line") < F.col("sink_line")) & (F.col("sink_line") <= F.col("last"))
         & ((F.coalesce(F.size("used"), F.lit(0)) <= 0) | F.arrays_overlap("names", "used"))
     )
-    first = found.groupBy("path", "scope", "trace_id", "sink_line").agg(F.min("line").alias("guard_line"))
+    key = ["path", "scope", "trace_id", "sink_line"]
+    found = found.select(*key, "line")
+    callees = scopes.where("error is null and guarded_returns and function <> '<module>'").select(
+        "path", F.col("function").alias("callee"), F.array_min(F.transform("guards", lambda g: g["line"])).alias("line")
+    )
+    calling = scopes.where("error is null and size(guards) = 0").select("path", "scope", F.explode("calls").alias("callee")).distinct()
+    called = t.join(calling, ["path", "scope"]).join(callees, ["path", "callee"]).where(F.array_contains("used", F.col("callee")))
+    first = found.unionByName(called.select(*key, "line")).groupBy(*key).agg(F.min("line").alias("guard_line"))
     return traces.join(first, ["path", "scope", "trace_id", "sink_line"], "left")
 
 
@@ -138,22 +153,32 @@ def dedupe_and_rank(rows: DataFrame) -> DataFrame:
 def suppressed(rows: DataFrame, rules: DataFrame, fields: dict[str, str], keep: bool) -> DataFrame:
     """Rows that no rule (kind, pattern) matches, or with ``keep`` False those that one does.
 
-    Rules are globs on the column that ``fields`` names for their kind; users
-    write them by hand, so they are few and may be broadcast.
+    Rules are globs on the column that ``fields`` names for their kind; those of
+    kind function may end with ``:>=x``, a floor for confidence.  Users write them
+    by hand; they become one filter, so more than ``MAX_RULES`` are refused.
     """
-    r = rules.select("kind", S.glob_regex(F.col("pattern")).alias("__rx"))
+    few = rules.select("kind", "pattern").limit(MAX_RULES + 1).collect()
+    if len(few) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} suppression rules")
+    globs: dict[str, list[str]] = {}
     match = F.lit(False)
-    for kind, column in fields.items():
-        match = match | ((F.col("kind") == kind) & F.regexp(F.col(column).cast("string"), F.col("__rx")))
-    return rows.join(F.broadcast(r), match, "left_anti" if keep else "left_semi")
+    for kind, pattern in few:
+        if kind not in fields or pattern is None:
+            continue
+        glob, _, floor = pattern.partition(":") if kind == "function" else (pattern, "", "")
+        if not floor.startswith(">="):
+            globs.setdefault(kind, []).append(S.glob_pattern(glob))
+        elif re.fullmatch(r"\s*\d*\.?\d+\s*", floor[2:]):
+            named = F.col(fields[kind]).cast("string").rlike(S.glob_pattern(glob))
+            match = match | F.coalesce(named & (F.col("confidence") >= float(floor[2:])), F.lit(False))
+    for kind, patterns in globs.items():
+        match = match | F.coalesce(F.col(fields[kind]).cast("string").rlike("|".join(patterns)), F.lit(False))
+    return rows.where(~match if keep else match)
 
 
 def summary(rows: DataFrame, by: list[str]) -> DataFrame:
     """Counts by each column and in all, in one pass."""
-    sets = ", ".join(f"({c})" for c in by)
-    rows.createOrReplaceTempView("__summary")
-    names = ", ".join(by)
-    return rows.sparkSession.sql(f"SELECT {names}, count(*) AS n FROM __summary GROUP BY GROUPING SETS ({sets}, ())")
+    return rows.groupingSets([[F.col(c)] for c in by] + [[]], *by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def evidence(rows: DataFrame, key: list[str]) -> DataFrame:

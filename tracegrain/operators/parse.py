@@ -3,17 +3,22 @@
 Every scope of a file (its functions, its methods, its module level) becomes one
 row: parameters, calls, sink contacts with the state of the value that reaches
 them, invocations with the origins of their arguments, guards, and what the
-feature extraction counts.  A file that doesn't parse becomes a row with an
-error and no scope.  All decisions that follow (danger, confidence, severity,
-identity, ranking) are relational and live in the other modules.
-
-A value is (origins, neutralised, partial, path, constant, kills, guards).
+feature extraction counts.  A file that doesn't parse whole gets a row with an
+error and no scope, and the scopes of those parts that parse alone; one that is
+nested too deeply gets such a row as well.  All decisions that follow (danger,
+confidence, severity, identity, ranking) are relational and live in the other
+modules.
+
+A value is (origins, neutralised, partial, path, constant, kills).  Guards are
+steps of its path.
 """
 
 from __future__ import annotations
 
 import ast
+import re
 from dataclasses import dataclass, field, replace
+from re import _parser as parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,9 +35,20 @@ SCHEMA = (
     "decorators array<string>, calls array<string>, sinks array<string>, sanitisers array<string>, n_returns int, returns array<int>, sql_literal boolean, "
     f"hits array<{HIT}>, "
     "invocations array<struct<callee:string,line:int,args:array<struct<origins:array<string>,position:int,keyword:string>>>>, "
-    "guards array<struct<line:int,last:int,names:array<string>>>, sink_names array<struct<line:int,names:array<string>>>"
+    "guards array<struct<line:int,last:int,names:array<string>>>, guarded_returns boolean, sink_names array<struct<line:int,names:array<string>>>"
 )
+#: Expressions below so many others are not looked at; their file is flagged.
 DEPTH = 150
+#: What a guard that ends the path can constrain, and what one by a pattern without separators can.
+GUARDED = frozenset(("EXEC", "SQL", "XSS", "FILE", "REDIRECT"))
+GUARDED_BY_PATTERN = frozenset(("FILE",))
+#: Calls whose result decides whether a path stays inside a folder; methods that do so by being named;
+#: comparisons do so if one side calls one of the last two.  Fixed names.
+CONTAINMENT = frozenset(("commonpath", "commonprefix", "relative_to", "isabs", "realpath", "is_relative_to"))
+CONTAINMENT_METHODS = frozenset(("relative_to", "is_relative_to"))
+COMPARED_LEFT = frozenset(("startswith", "commonprefix", "join", "abspath", "normpath"))
+COMPARED_METHODS = frozenset(("startswith", "dirname", "abspath", "normpath", "realpath"))
+EXIT_CALLS = frozenset(("abort", "os._exit", "sys.exit", "die"))
 
 
 @dataclass(frozen=True)
@@ -43,7 +59,6 @@ class Value:
     path: tuple = ()
     constant: bool = False
     kills: tuple = ()
-    guards: tuple = ()
 
 
 CLEAN, LITERAL = Value(), Value(constant=True)
@@ -94,6 +109,8 @@ class Scope:
     hits: list = field(default_factory=list)
     invocations: list = field(default_factory=list)
     guards: list = field(default_factory=list)
+    return_lines: list = field(default_factory=list)
+    too_deep: bool = False
     sink_names: list = field(default_factory=list)
     returned: list = field(default_factory=list)
     n_returns: int = 0
@@ -105,6 +122,7 @@ class Interpreter(ast.NodeVisitor):
 
     def __init__(self, scope: Scope, modules: dict[str, frozenset]):
         self.scope, self.modules, self.depth = scope, modules, 0
+        self.loop_ends: list[int] = []
         self.env: dict[str, Value] = {}
         for i, p in enumerate(scope.params):
             origin = "GLOBAL" if p in ("self", "cls") else f"PARAM#{i}"
@@ -138,7 +156,7 @@ class Interpreter(ast.NodeVisitor):
             self.run([x for x in s.body if not isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef)])
 
     def do_Assign(self, s) -> None:
-        if len(s.targets) == 1 and isinstance(s.targets[0], ast.Tuple) and isinstance(s.value, ast.Tuple) and len(s.targets[0].elts) == len(s.value.elts):
+        if len(s.targets) == 1 and isinstance(s.targets[0], ast.Tuple | ast.List) and isinstance(s.value, ast.Tuple | ast.List) and len(s.targets[0].elts) == len(s.value.elts):
             for t, v in zip(s.targets[0].elts, [self.value(v) for v in s.value.elts], strict=True):
                 self.bind(t, v)
             return
@@ -171,25 +189,36 @@ class Interpreter(ast.NodeVisitor):
 
     def do_Return(self, s) -> None:
         self.scope.n_returns += 1
+        self.scope.return_lines.append(s.lineno)
         if s.value is not None:
             v = self.step(self.value(s.value), s, "return")
             self.scope.returned += sorted(int(o[6:]) for o in v.origins if o.startswith("PARAM#"))
 
-    def do_If(self, s) -> None:
+    def do_If(self, s, guarding: bool = True) -> None:
         self.value(s.test)
+        self.contain(s)
+        self.run(s.body)
+        other = s.orelse[0] if len(s.orelse) == 1 else None
+        if isinstance(other, ast.If) and other.col_offset == s.col_offset:  # elif, which guards nothing after it
+            self.do_If(other, False)
+        else:
+            self.run(s.orelse)
+        if guarding:
+            self.guard(s)
+
+    def loop(self, s) -> None:
+        self.loop_ends.append(s.body[-1].end_lineno or s.lineno)
         self.run(s.body)
+        self.loop_ends.pop()
         self.run(s.orelse)
-        self.guard(s)
 
     def do_While(self, s) -> None:
         self.value(s.test)
-        self.run(s.body)
-        self.run(s.orelse)
+        self.loop(s)
 
     def do_For(self, s) -> None:
         self.bind(s.target, self.step(self.value(s.iter), s, "loop"))
-        self.run(s.body)
-        self.run(s.orelse)
+        self.loop(s)
 
     do_AsyncFor = do_For
 
@@ -212,34 +241,51 @@ class Interpreter(ast.NodeVisitor):
     do_TryStar = do_Try
 
     def do_Match(self, s) -> None:
-        self.value(s.subject)
+        subject = self.step(self.value(s.subject), s, "branch")
         for c in s.cases:
+            for part in ast.walk(c.pattern):
+                name = getattr(part, "rest", None) if isinstance(part, ast.MatchMapping) else getattr(part, "name", None)
+                if name:
+                    self.env[name] = subject
+            self.value(c.guard)
             self.run(c.body)
 
     def do_Global(self, s) -> None:
         for n in s.names:
             self.env[n] = Value(frozenset(["GLOBAL"]), path=((s.lineno, s.col_offset, n, "source", "global"),))
 
-    def guard(self, s: ast.If) -> None:
-        """A test that ends the path marks the bare name it tests, and dominates what follows."""
-        ends = bool(s.body) and isinstance(s.body[-1], ast.Return | ast.Raise | ast.Continue | ast.Break)
-        if not ends:
+    def contain(self, s: ast.If) -> None:
+        """Record a containment test that leaves the function, or its loop, when it fails."""
+        end = exit_of(s.body[0])
+        if end is None or s.orelse or not decides_containment(s.test):
             return
+        last = self.loop_ends[-1] if end == "loop" and self.loop_ends else self.scope.end
+        self.scope.guards.append((s.lineno, last, sorted({n.id for n in ast.walk(s.test) if isinstance(n, ast.Name)})))
+
+    def guard(self, s: ast.If) -> None:
+        """A test of a bare name, by comparison or by a pattern, constrains its value from here on."""
         test, negated = s.test, False
         while isinstance(test, ast.UnaryOp) and isinstance(test.op, ast.Not):
             test, negated = test.operand, not negated
-        names = sorted({n.id for n in ast.walk(test) if isinstance(n, ast.Name)})
-        self.scope.guards.append((s.lineno, self.scope.end, names))
-        if not isinstance(test, ast.Compare) or len(test.ops) != 1 or not isinstance(test.left, ast.Name):
+        kind, name, categories = "equality", None, GUARDED
+        if isinstance(test, ast.Compare) and len(test.ops) == 1 and isinstance(test.left, ast.Name):
+            name, op = test.left.id, test.ops[0]
+            if isinstance(op, ast.In | ast.NotIn):
+                if not isinstance(test.comparators[0], ast.List | ast.Tuple | ast.Set | ast.Name | ast.Dict):
+                    return
+                kind = "allowlist" if isinstance(op, ast.NotIn) != negated else "denylist"
+        elif isinstance(test, ast.Call) and len(test.args) >= 2 and dotted(test.func).rsplit(".", 1)[-1] in ("match", "fullmatch", "search"):
+            pattern, value = test.args[:2]
+            if isinstance(value, ast.Name) and isinstance(pattern, ast.Constant) and isinstance(pattern.value, str) and path_safe(pattern.value):
+                name, categories = value.id, GUARDED_BY_PATTERN
+        v = self.env.get(name) if name else None
+        if v is None or not v.origins:
             return
-        op, kind = test.ops[0], "equality"
-        if isinstance(op, ast.In | ast.NotIn):
-            if not isinstance(test.comparators[0], ast.List | ast.Tuple | ast.Set | ast.Name | ast.Dict):
-                return
-            kind = "allowlist" if isinstance(op, ast.NotIn) != negated else "denylist"
-        v = self.env.get(test.left.id)
-        if v is not None:
-            self.env[test.left.id] = replace(v, guards=(*v.guards, kind))
+        ends = next((isinstance(x, ast.Return | ast.Raise) for x in s.body if isinstance(x, ast.Return | ast.Raise | ast.If)), False)
+        if not ends:
+            kind = f"weak_{kind}"
+            categories = categories if categories is GUARDED_BY_PATTERN else frozenset()
+        self.env[name] = replace(v, partial=v.partial | categories, path=(*v.path, (s.lineno, s.col_offset, "guard", kind, name)))
 
     # -- expressions
 
@@ -254,7 +300,10 @@ class Interpreter(ast.NodeVisitor):
             return CLEAN
         self.depth += 1
         try:
-            return self._value(node) if self.depth < DEPTH else CLEAN
+            if self.depth < DEPTH:
+                return self._value(node)
+            self.scope.too_deep = True
+            return CLEAN
         finally:
             self.depth -= 1
 
@@ -269,10 +318,10 @@ class Interpreter(ast.NodeVisitor):
             return self.call(e)
         if isinstance(e, ast.JoinedStr):
             parts = [self.value(p.value) if isinstance(p, ast.FormattedValue) else self.value(p) for p in e.values]
-            return self.step(self.joined(parts), e, "fstring")
+            return self.step(merge(*parts), e, "fstring")
         if isinstance(e, ast.BinOp):
             edge = "percent" if isinstance(e.op, ast.Mod) else "concat"
-            return self.step(self.joined([self.value(e.left), self.value(e.right)]), e, edge)
+            return self.step(merge(self.value(e.left), self.value(e.right)), e, edge)
         if isinstance(e, ast.BoolOp):
             return self.step(merge(*map(self.value, e.values)), e, "branch")
         if isinstance(e, ast.Compare):
@@ -309,12 +358,6 @@ class Interpreter(ast.NodeVisitor):
             return merge(*(self.value(x) for x in [*e.args.defaults, e.body]))
         return merge(*(self.value(c) for c in ast.iter_child_nodes(e) if isinstance(c, ast.expr)))
 
-    def joined(self, parts: list[Value]) -> Value:
-        """Parts of a string; a guard on one of them still holds for it."""
-        v = merge(*parts)
-        marks = tuple(g for p in parts if p.origins for g in p.guards)
-        return replace(v, guards=marks) if v.origins and marks else v
-
     def source(self, e: ast.expr) -> Value | None:
         name = dotted(e)
         origin = R.source_of(name)
@@ -343,8 +386,6 @@ class Interpreter(ast.NodeVisitor):
         self.scope.invocations.append((name, e.lineno, [(sorted(v.origins), i, k) for i, k, v, _, _ in values]))
         modules = self.modules.get(name, frozenset())
         merged = merge(*(v for _, _, v, _, _ in values)) if values else CLEAN
-        if len(values) == 1 and values[0][2].origins:
-            merged = replace(merged, guards=values[0][2].guards)
         tail = name.rsplit(".", 1)[-1]
         if tail in R.AMPLIFIERS or name in R.AMPLIFIERS:
             if values and not values[0][2].constant and "XSS" not in values[0][2].neutralised:
@@ -355,7 +396,7 @@ class Interpreter(ast.NodeVisitor):
         if kill is not None:
             self.scope.sanitisers.append(kill)
             categories, full, _ = R.KILLS[kill]
-            cats = frozenset(categories.split())
+            cats = frozenset(categories)
             if not merged.origins:
                 return merged
             v = replace(merged, neutralised=merged.neutralised | cats) if full else replace(merged, partial=merged.partial | cats)
@@ -379,7 +420,7 @@ class Interpreter(ast.NodeVisitor):
             steps = [*v.path, (e.lineno, e.col_offset, "sink", "sink", name)] if v.origins else []
             self.scope.hits.append((
                 sink, name, e.lineno, i, k, star, _ordered(v), sorted(v.neutralised), sorted(v.partial), steps, list(v.kills),
-                v.guards[-1] if v.guards else None, structural, amplifier,
+                next((edge for _, _, kind, edge, _ in reversed(steps) if kind == "guard" and not edge.startswith("weak_")), None), structural, amplifier,
             ))
 
 
@@ -414,37 +455,174 @@ def _scopes(tree: ast.Module):
             queue.append((inside if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) else prefix, child))
 
 
+def exit_of(s: ast.stmt) -> str | None:
+    """What a statement leaves: its function, its loop, or nothing."""
+    if isinstance(s, ast.Raise | ast.Return):
+        return "function"
+    if isinstance(s, ast.Break | ast.Continue):
+        return "loop"
+    if isinstance(s, ast.Expr) and isinstance(s.value, ast.Call):
+        f = s.value.func
+        return "function" if (f.attr if isinstance(f, ast.Attribute) else getattr(f, "id", "")) in EXIT_CALLS else None
+    return None
+
+
+def decides_containment(test: ast.expr) -> bool:
+    """Whether a test decides that a path stays where it should."""
+
+    def called(e: ast.AST) -> str:
+        return dotted(e.func).rsplit(".", 1)[-1] if isinstance(e, ast.Call) else ""
+
+    for e in ast.walk(test):
+        if called(e) in CONTAINMENT or isinstance(e, ast.Attribute) and e.attr in CONTAINMENT_METHODS:
+            return True
+        if isinstance(e, ast.Compare) and any(isinstance(op, ast.Eq | ast.NotEq | ast.In) for op in e.ops):
+            methods = {called(x) for x in (e.left, *e.comparators) if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute)}
+            if called(e.left) in COMPARED_LEFT or methods & COMPARED_METHODS:
+                return True
+    return False
+
+
+def path_safe(pattern: str) -> bool:
+    """Whether a pattern is anchored at both ends and no part of it can match / or \\.
+
+    Decided on the parsed pattern, by trying both separators on each part.
+    """
+    text = pattern.strip()
+    if not text.startswith("^") or not text.endswith(("$", r"\Z", r"\z")):
+        return False
+    try:
+        tree = parser.parse(text.removesuffix(r"\z"))
+    except (re.error, RecursionError, OverflowError):
+        return False
+
+    def safe(part) -> bool:
+        for op, arg in part:
+            name = str(op)
+            if name in ("ANY", "NOT_LITERAL") or name == "LITERAL" and chr(arg) in "/\\\0":
+                return False
+            if name == "IN" and any(in_set(arg, c) for c in "/\\"):
+                return False
+            inner = []
+            if name == "SUBPATTERN":
+                inner = [arg[-1]]
+            elif name == "BRANCH":
+                inner = arg[1]
+            elif name == "ATOMIC_GROUP":
+                inner = [arg]
+            elif name.endswith("REPEAT"):
+                inner = [arg[2]]
+            if name in ("ASSERT", "ASSERT_NOT", "GROUPREF_EXISTS"):
+                return False
+            if not all(safe(x) for x in inner):
+                return False
+        return True
+
+    def in_set(items, char: str) -> bool:
+        found = negated = False
+        for op, arg in items:
+            name = str(op)
+            negated |= name == "NEGATE"
+            found |= name == "LITERAL" and chr(arg) == char or name == "RANGE" and arg[0] <= ord(char) <= arg[1]
+            # of the shorthands only the negated ones hold a separator
+            found |= name == "CATEGORY" and "_NOT_" in str(arg)
+        return found != negated
+
+    return safe(tree)
+
+
+def parts(source: str) -> list[ast.Module]:
+    """The trees of those top-level blocks, and members of classes, of a broken file that parse alone."""
+    lines = source.splitlines()
+
+    def parsed(first: int, text: list[str]) -> ast.Module | None:
+        try:
+            return ast.parse("\n" * first + "\n".join(text))
+        except (SyntaxError, ValueError):
+            return None
+
+    def blocks(first: int, last: int, indent: int):
+        """(first, last) of blocks at an indent; closing brackets and further clauses belong to the block before."""
+        start, decorated = None, False
+        for i in range(first, last):
+            text = lines[i]
+            own = text[indent:] if not text[:indent].strip() else text.lstrip()
+            if not own.strip() or own[0].isspace() or own[0] in "#)]}" or re.match(r"(else|elif|except|finally)\b", own):
+                continue
+            if not decorated:
+                if start is not None:
+                    yield start, i
+                start = i
+            decorated = own.startswith("@")
+        if start is not None:
+            yield start, last
+
+    out = []
+    for first, last in blocks(0, len(lines), 0):
+        tree = parsed(first, lines[first:last])
+        head = next((i for i in range(first, last) if lines[i].startswith("class ")), None)
+        if tree is not None:
+            out.append(tree)
+        elif head is not None and head + 1 < last:
+            body = next((i for i in range(head + 1, last) if lines[i].strip()), last)
+            indent = len(lines[body]) - len(lines[body].lstrip()) if body < last else 0
+            members = blocks(body, last, indent) if indent else ()
+            out += [t for a, b in members if (t := parsed(head, [lines[head], *[""] * (a - head - 1), *lines[a:b]])) is not None]
+    return out
+
+
+def _failed(path: str, error: str) -> tuple:
+    return (path, error, [], None, *[None] * 17)
+
+
 def facts(path: str, source: str | None) -> list[tuple]:
     """The rows of one file."""
+    source = source or ""
+    out, scopes = [], []
     try:
-        tree = ast.parse(source or "")
-        imports, modules = _imports(tree)
-        scopes = []
-        end = len((source or "").splitlines()) or 1
-        module = Scope("<module>", "<module>", 1, end)
-        Interpreter(module, modules).run(tree.body)
+        try:
+            trees = [ast.parse(source)]
+        except SyntaxError:
+            out.append(_failed(path, "SyntaxError"))
+            trees = parts(source)
+        if not trees:
+            return out
+        imports, modules = [], {}
+        for tree in trees:
+            names, own = _imports(tree)
+            imports += names
+            modules |= own
+        module = Scope("<module>", "<module>", 1, len(source.splitlines()) or 1)
+        interpreter = Interpreter(module, modules)
+        for tree in trees:
+            interpreter.run(tree.body)
         scopes.append(module)
-        for qualname, f in _scopes(tree):
+        for qualname, f in (x for tree in trees for x in _scopes(tree)):
             a = f.args
             params = [x.arg for x in [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]]
             s = Scope(f.name, qualname, f.lineno, f.end_lineno or f.lineno, params, [dotted(d) for d in f.decorator_list])
             Interpreter(s, modules).run(f.body)
             scopes.append(s)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
-        return [(path, type(error).__name__, [], None, *[None] * 16)]
-    return [
+        return [_failed(path, type(error).__name__)]
+    if any(s.too_deep for s in scopes):
+        out.append(_failed(path, "TooDeep"))
+    return out + [
         (path, None, imports, i, s.name, s.qualname, s.line, s.end, s.params, s.decorators, s.calls, s.sinks, s.sanitisers, s.n_returns,
-         sorted(set(s.returned)), s.sql_literal, s.hits, s.invocations, s.guards, s.sink_names)
+         sorted(set(s.returned)), s.sql_literal, s.hits, s.invocations, s.guards, guarded_returns(s), s.sink_names)
         for i, s in enumerate(scopes)
     ]
 
 
+def guarded_returns(s: Scope) -> bool:
+    """Whether a containment test stands before every return."""
+    return bool(s.guards and s.return_lines) and min(line for line, _, _ in s.guards) < min(s.return_lines)
 
 
 def _parse(batches):
     names = (
         "path error imports scope function qualname lineno end_lineno params decorators calls sinks sanitisers n_returns returns sql_literal "
-        "hits invocations guards sink_names"
+        "hits invocations guards guarded_returns sink_names"
     ).split()
     step = ("line", "column", "kind", "edge", "detail")
     hit = (

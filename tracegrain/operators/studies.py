@@ -79,9 +79,8 @@ def grouped_split(rows: DataFrame, group: str, label: str, share: float = 0.25)
 
 def partition_by(rows: DataFrame, sets: list[str], outcome: str) -> DataFrame:
     """Counts by outcome for each of ``sets`` and in all, one pass."""
-    rows.createOrReplaceTempView("__partition")
-    names, grouping = ", ".join(sets), ", ".join(f"({s}, {outcome})" for s in sets)
-    return rows.sparkSession.sql(f"SELECT {names}, {outcome}, count(*) AS n FROM __partition GROUP BY GROUPING SETS ({grouping}, ({outcome}))")
+    grouping = [[F.col(s), F.col(outcome)] for s in sets] + [[F.col(outcome)]]
+    return rows.groupingSets(grouping, *sets, outcome).agg(F.count(F.lit(1)).alias("n"))
 
 
 def profile(rows: DataFrame, by: str, name: str, value: str) -> DataFrame:

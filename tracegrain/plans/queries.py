@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrain.functions import scalars as S
-from tracegrain.operators import callgraph, corpus, diffs, features, findings, learn, parse, patching, rename, report, studies
+from tracegrain.operators import callgraph, corpus, diffs, features, findings, interproc, learn, parse, patching, rename, report, studies
+from tracegrain.operators.tables import cut
 from tracegrain.plans import registry as R
 from tracegrain.plans import snippets
 
@@ -37,9 +38,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _scopes(spark, sf, keys: str = "part", key: str = "p_partkey") -> DataFrame:
-    return parse.parse(snippets.sources(table(spark, sf, keys).select(key), key))
+    # written once: findings and features read the scopes several times
+    return cut(parse.parse(snippets.sources(table(spark, sf, keys).select(key), key)))
 
 
+#: Templates with a flow that no patch is proposed for: its class has none, the argument isn't positional, or the file is broken.
+REFUSED = "0, 8, 9, 19, 21, 23, 34, 35, 36, 38, 39"
 EXPECTED = f"part JOIN {snippets.expected_sql()} ON p_partkey % {N} = i"
 
 # ---- sources to findings
@@ -71,12 +75,12 @@ def origin_display(spark, sf):
     return findings.flows(_scopes(spark, sf)).select("path", "sink", F.explode("origins").alias("origin"))
 
 
-@query(f"SELECT 'p' || p_partkey || '.py' AS path, 'SyntaxError' AS error FROM part WHERE p_partkey % {N} = 13")
+@query(f"SELECT 'p' || p_partkey || '.py' AS path, 'SyntaxError' AS error FROM part WHERE p_partkey % {N} IN (13, 19)")
 def parse_errors(spark, sf):
     return _scopes(spark, sf).where("error is not null").select("path", "error")
 
 
-@query(f"SELECT 'p' || p_partkey || '.py' AS path, CAST(0.12 AS DOUBLE) AS confidence, CAST(2 AS BIGINT) AS guard_line FROM part WHERE p_partkey % {N} = 7")
+@query(f"SELECT 'p' || p_partkey || '.py' AS path, CAST(0.12 AS DOUBLE) AS confidence, CAST(4 AS BIGINT) AS guard_line FROM part WHERE p_partkey % {N} IN (16, 20)")
 def containment_range_join(spark, sf):
     s = _scopes(spark, sf)
     t = findings.contained(findings.flows(s), s).where("guard_line is not null")
@@ -104,7 +108,7 @@ def evidence_ladder(spark, sf):
     return findings.evidence(f, ["path"])
 
 
-@query(f"SELECT CAST(p_partkey % {N} = 13 AS BOOLEAN) AS broken, count(*) AS n, count(*) FILTER (p_partkey % {N} <> 13) AS stable FROM part GROUP BY 1")
+@query(f"SELECT CAST(p_partkey % {N} IN (13, 19) AS BOOLEAN) AS broken, count(*) AS n, count(*) FILTER (p_partkey % {N} NOT IN (13, 19)) AS stable FROM part GROUP BY 1")
 def rename_invariance(spark, sf):
     s = snippets.sources(table(spark, sf, "part").select("p_partkey"), "p_partkey")
     both = s.select(F.concat(F.lit("a|"), "path").alias("path"), "source").unionByName(
@@ -120,16 +124,17 @@ def rename_invariance(spark, sf):
     return g.groupBy("broken").agg(F.count(F.lit(1)).alias("n"), F.count(F.when((F.col("b") > 0) & (F.col("fa") == F.col("fb")), 1)).alias("stable"))
 
 
-@query(f"""SELECT 'p' || p_partkey || '.py' AS path, p_partkey % {N} NOT IN (0, 8, 9) AS proposed, p_partkey % {N} IN (2, 4, 6, 7, 11) AS accepted
+@query(f"""SELECT 'p' || p_partkey || '.py' AS path, p_partkey % {N} NOT IN ({REFUSED}) AS proposed, p_partkey % {N} NOT IN ({REFUSED}, 10) AS accepted
   FROM {EXPECTED} WHERE detector <> 'pattern'""")
 def patch_verify(spark, sf):
     s = snippets.sources(table(spark, sf, "part").select("p_partkey"), "p_partkey")
-    proposals = callgraph.cut(patching.propose(findings.flows(parse.parse(s)), s))
+    proposals = cut(patching.propose(findings.flows(parse.parse(s)), s))
     status = patching.verify(proposals, s).select("path", "trace_id", "accepted")
     return proposals.join(status, ["path", "trace_id"], "left").select("path", (~F.col("refused")).alias("proposed"), F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
-@query(f"SELECT 'p' || p_partkey || '.py' AS path, p_partkey % {N} IN (2, 4, 6, 7) AS applied FROM part")
+@query(f"""SELECT 'p' || p_partkey || '.py' AS path, coalesce(detector = 'taint' AND i NOT IN ({REFUSED}, 10), false) AS applied
+  FROM part LEFT JOIN {snippets.expected_sql()} ON p_partkey % {N} = i""")
 def patch_repair_loop(spark, sf):
     s = snippets.sources(table(spark, sf, "part").select("p_partkey"), "p_partkey")
     return patching.repair(s).select("path", (F.col("applied") > 0).alias("applied"))
@@ -312,50 +317,64 @@ def tool_median(spark, sf):
     return studies.tool_medians(table(spark, sf, "part"), "p_brand", "p_size")
 
 
-# ---- call graphs: part k calls 2k and, two of three times, 2k + 1; every 7th calls back
+# ---- call graphs: part k calls 2k and, two of three times, 2k + 1; every 7th calls its caller back
 
-_EDGES = "SELECT p_partkey AS src, p_partkey * 2 AS dst FROM part UNION ALL SELECT p_partkey, p_partkey * 2 + 1 FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, p_partkey // 4 FROM part WHERE p_partkey % 7 = 0"
+_EDGES = "SELECT p_partkey AS src, p_partkey * 2 AS dst FROM part UNION ALL SELECT p_partkey, p_partkey * 2 + 1 FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey % 7 = 0"
 _REAL = f"SELECT src, dst FROM ({_EDGES}) WHERE dst IN (SELECT p_partkey FROM part)"
 
 
 def _edges(spark, sf):
     p = table(spark, sf, "part").select("p_partkey")
     k = F.col("p_partkey")
-    e = p.select(k.alias("src"), F.explode(F.array(k * 2, F.when(k % 3 != 0, k * 2 + 1), F.when(k % 7 == 0, F.floor(k / 4)))).alias("dst")).where("dst is not null")
+    e = p.select(k.alias("src"), F.explode(F.array(k * 2, F.when(k % 3 != 0, k * 2 + 1), F.when(k % 7 == 0, F.floor(k / 2)))).alias("dst")).where("dst is not null")
     return e.join(p.select(k.alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-@query(f"SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM ({_REAL}))")
+ENTRIES = f"SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM ({_REAL}))"
+
+
+@query(ENTRIES)
 def entry_points(spark, sf):
     return callgraph.entry_points(table(spark, sf, "part").select(F.col("p_partkey").alias("node")), _edges(spark, sf))
 
 
-@query(f"""WITH RECURSIVE e AS ({_REAL}), r(entry, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 97 = 5 UNION SELECT entry, dst FROM r JOIN e ON node = src) SELECT entry, node FROM r""")
+@query(f"""WITH RECURSIVE e AS ({_REAL}), n AS ({ENTRIES}), r(entry, node) AS (SELECT node, node FROM n UNION SELECT entry, dst FROM r JOIN e ON node = src) SELECT entry, node FROM r""")
 def callgraph_reach(spark, sf):
-    seeds = table(spark, sf, "part").where("p_partkey % 97 = 5").select(F.col("p_partkey").alias("node"))
-    return callgraph.reach(_edges(spark, sf), seeds).select("entry", "node")
+    edges = cut(_edges(spark, sf))
+    seeds = callgraph.entry_points(table(spark, sf, "part").select(F.col("p_partkey").alias("node")), edges)
+    return callgraph.reach(edges, seeds).select("entry", "node")
+
+
+# the same without calls back, so that there is one chain to each node
+_TREE = "SELECT a.p_partkey AS src, b.p_partkey AS dst FROM part a JOIN part b ON b.p_partkey // 2 = a.p_partkey WHERE b.p_partkey % 2 = 0 OR a.p_partkey % 3 <> 0"
+_ROOTS = "SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM e)"
 
 
-@query("""WITH RECURSIVE e AS (SELECT a.p_partkey AS src, b.p_partkey AS dst FROM part a JOIN part b ON b.p_partkey // 2 = a.p_partkey),
-  r(entry, node, chain) AS (SELECT p_partkey, p_partkey, p_partkey::VARCHAR FROM part WHERE p_partkey % 97 = 5 UNION ALL SELECT entry, dst, chain || '>' || dst FROM r JOIN e ON node = src) SELECT entry, node, chain FROM r""")
+def _tree(spark, sf):
+    k = table(spark, sf, "part").select(F.col("p_partkey").alias("dst"), F.floor(F.col("p_partkey") / 2).alias("src"))
+    known = k.join(k.select(F.col("dst").alias("src")), "src", "left_semi").where("dst % 2 = 0 or src % 3 <> 0")
+    edges = cut(known.select("src", "dst", F.col("dst").alias("ord")))
+    return k.select(F.col("dst").alias("node")), edges
+
+
+@query(f"""WITH RECURSIVE e AS ({_TREE}), n AS ({_ROOTS}),
+  r(entry, node, chain) AS (SELECT node, node, node::VARCHAR FROM n UNION ALL SELECT entry, dst, chain || '>' || dst FROM r JOIN e ON node = src) SELECT entry, node, chain FROM r""")
 def callgraph_chain(spark, sf):
-    p = table(spark, sf, "part")
-    e = p.select(F.floor(F.col("p_partkey") / 2).alias("src"), F.col("p_partkey").alias("dst"), F.col("p_partkey").alias("ord")).join(p.select(F.col("p_partkey").alias("src")), "src", "left_semi")
-    c = callgraph.chains(e, p.where("p_partkey % 97 = 5").select(F.col("p_partkey").alias("node")))
+    nodes, edges = _tree(spark, sf)
+    c = callgraph.chains(edges, callgraph.entry_points(nodes, edges))
     return c.select("entry", "node", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
 
 
-_FLOW = "SELECT a.p_partkey AS src, b.p_partkey AS dst, a.p_partkey % 2 AS from_idx, CASE WHEN b.p_partkey % 5 = 0 THEN NULL ELSE b.p_partkey % 2 END AS to_idx FROM part a JOIN part b ON b.p_partkey // 2 = a.p_partkey"
-_TAINT = f"""e AS (SELECT src, dst, from_idx, t AS to_idx FROM ({_FLOW}) f JOIN (VALUES (0), (1)) x(t) ON to_idx IS NULL OR to_idx = t),
-  r(fn, idx, entry) AS (SELECT p_partkey, i, p_partkey FROM part, (VALUES (0), (1)) s(i) WHERE p_partkey % 53 = 3 UNION SELECT dst, to_idx, entry FROM r JOIN e ON fn = src AND idx = from_idx)"""
+_TAINT = f"""e AS ({_TREE}), n AS ({_ROOTS}),
+  f AS (SELECT src, dst, src % 2 AS from_idx, t AS to_idx FROM e JOIN (VALUES (0), (1)) x(t) ON dst % 5 = 0 OR dst % 2 = t),
+  r(fn, idx, entry) AS (SELECT node, i, node FROM n, (VALUES (0), (1)) s(i) UNION SELECT dst, to_idx, entry FROM r JOIN f ON fn = src AND idx = from_idx)"""
 
 
 def _reached(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
-    e = p.select(F.floor(F.col("k") / 2).alias("src"), F.col("k").alias("dst")).join(p.select(F.col("k").alias("src")), "src", "left_semi")
-    e = e.select("src", "dst", (F.col("src") % 2).cast("int").alias("from_idx"), F.when(F.col("dst") % 5 != 0, F.col("dst") % 2).cast("int").alias("to_idx"))
-    seeds = p.where("k % 53 = 3").select(F.col("k").alias("fn"), F.explode(F.array(F.lit(0), F.lit(1))).alias("idx"), F.col("k").alias("entry"))
-    return callgraph.propagate(p.select(F.col("k").alias("fn"), F.lit(2).alias("n")), e, seeds)
+    nodes, edges = _tree(spark, sf)
+    e = edges.select("src", "dst", (F.col("src") % 2).cast("int").alias("from_idx"), F.when(F.col("dst") % 5 != 0, F.col("dst") % 2).cast("int").alias("to_idx"))
+    seeds = callgraph.entry_points(nodes, edges).select(F.col("node").alias("fn"), F.explode(F.array(F.lit(0), F.lit(1))).alias("idx"), F.col("node").alias("entry"))
+    return callgraph.propagate(nodes.select(F.col("node").alias("fn"), F.lit(2).alias("n")), e, seeds)
 
 
 @query(f"WITH RECURSIVE {_TAINT} SELECT fn, idx, entry FROM r")
@@ -381,6 +400,15 @@ def call_resolution(spark, sf):
     return callgraph.resolve_functions(calls, fns).select("s_suppkey", "target")
 
 
+@query(f"""SELECT replace(entry, '_N', '_' || p_partkey) AS entry, replace(chain, '_N', '_' || p_partkey) AS chain, sink, origin,
+  substr(sha256(replace(entry, '_N', '_' || p_partkey) || '|' || replace(regexp_extract(chain, '[^>]+$'), '_N', '_' || p_partkey) || '|' || sink || '|' ||
+    CASE i WHEN 3 THEN '0,1' WHEN 4 THEN '' ELSE '0' END), 1, 16) AS trace_id
+  FROM part JOIN {snippets.expected_groups_sql()} ON p_partkey % {len(snippets.GROUPS)} = i""")
+def cross_findings(spark, sf):
+    scopes = cut(parse.parse(snippets.groups(table(spark, sf, "part").select("p_partkey"), "p_partkey")))
+    return interproc.cross_flows(scopes).select("entry", F.array_join("chain", ">").alias("chain"), "sink", F.array_join("origins", ",").alias("origin"), "trace_id")
+
+
 # ---- revisions
 
 _SIDES = """b AS (SELECT o_orderkey AS k, o_custkey, o_orderkey % 10 AS l FROM orders WHERE o_orderkey % 3 <> 0),
