@@ -9,12 +9,14 @@ way.  What then is left is compared across classes, so no link between two
 classes is lost, however large a bucket is, and a bucket of a thousand near
 copies costs about a thousand comparisons.
 
-Every text carries a bit sketch.  Two texts whose sketches differ in more than
-``differ`` bits can't be linked (for certain, or with a stated chance), and the
-joins leave such pairs out before they make a row.
-
-Comparisons run in groups of a centre and at most ``GROUP`` others, so a text
-that thousands are compared with is sent once for each group.
+Every text carries features.  ``near`` says of two texts' features whether they
+may be linked (for certain, or with a stated chance); other pairs don't become
+rows.  A pair that shares many buckets becomes a row in the first one alone.
+
+Rows of buckets are names only; features are joined to distinct pairs, and to
+the rows of the buckets that are compared across classes.  Comparisons run in
+groups of a centre and at most ``GROUP`` others, so a text that thousands are
+compared with is sent once for each group.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 GROUP = 64
 STARS = 2
@@ -33,12 +35,12 @@ ROUNDS = 60
 
 
 def compared(pairs: DataFrame, texts: DataFrame, linked: Callable[[str, list[str]], list[bool]]) -> DataFrame:
-    """The (a, b) of the distinct ``pairs`` that are linked; texts: (t, text)."""
+    """The (a, b) of the distinct ``pairs`` (cut) that are linked; texts: (t, text)."""
     groups = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("g")))
-    pairs = cut(pairs.join(groups, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("g"))))
-    others = pairs.select("a", "g", F.col("b").alias("t"))
-    centres = pairs.select("a", "g", F.col("a").alias("t")).distinct()
-    rows = others.unionByName(centres).join(texts, "t")
+    parts = cut(pairs.join(groups, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("g"))))
+    others = parts.select("a", "g", F.col("b").alias("t"))
+    centres = parts.select("a", "g", F.col("a").alias("t")).distinct()
+    rows = others.unionByName(centres).join(texts.hint("merge"), "t")
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         a = pdf["a"].iloc[0]
@@ -47,7 +49,9 @@ def compared(pairs: DataFrame, texts: DataFrame, linked: Callable[[str, list[str
         got = linked(pdf["text"][own].iloc[0], list(rest["text"]))
         return pd.DataFrame({"a": a, "b": rest["t"][pd.Series(got, index=rest.index, dtype=bool)]})
 
-    return rows.groupBy("a", "g").applyInPandas(f, "a long, b long")
+    out = cut(rows.groupBy("a", "g").applyInPandas(f, "a long, b long"))
+    forget(groups, parts)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -61,68 +65,89 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        edges = cut(edges)
-        low = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
-        down = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        forget(edges, low)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        down = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         edges = cut(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        forget(large, low)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components are not stable after {ROUNDS} rounds")
-    return edges.select(F.col("u").alias("t"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("t"), F.col("v").alias("label")).distinct())
-
-
-def _near(x: str, y: str, differ: int) -> Column:
-    """Whether two sketches, arrays of equal length, differ in at most so many bits."""
-    bits = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)))
-    return F.aggregate(bits, F.lit(0), lambda s, n: s + n) <= differ
+    out = cut(edges.select(F.col("u").alias("t"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("t"), F.col("v").alias("label")).distinct()))
+    forget(edges)
+    return out
 
 
 def classes(
-    members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], linked: Callable[[str, list[str]], list[bool]], differ: int
+    members: DataFrame,
+    features_of: Callable[[DataFrame], DataFrame],
+    texts_of: Callable[[DataFrame], DataFrame],
+    linked: Callable[[str, list[str]], list[bool]],
+    near: Callable[[Column, Column], Column],
+    first: Callable[[Column, Column, Column], Column],
 ) -> DataFrame:
     """(t, label) of the texts that are linked to another one, and no other rows.
 
     members: (b, t, indexed), rows of buckets with at least two different t; two
-    members that are not indexed need no comparison.  texts_of: (t) to
-    (t, text, sketch) of the same texts.
+    members that are not indexed need no comparison.  texts_of: (t) to (t, text) of
+    the same texts; features_of: those to (t, x), x being a struct of features.
+    near(x, y): whether two texts may be linked.  first(b, x, y): whether b is the
+    first bucket that they share.
     """
     members = cut(members)
     sizes = cut(members.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
     met = cut(members.join(sizes, "b").groupBy("t").agg(F.sum("n").alias("met")))
     texts = cut(texts_of(met.select("t")))
-    rows = cut(members.join(met.join(texts.select("t", "sketch"), "t"), "t").withColumn("label", F.col("t")))
-    rows = rows.withColumn("c0", F.lit(None).cast("long"))
-    texts = texts.select("t", "text")
+    features = cut(features_of(texts))
+    rows = cut(members.join(met, "t").withColumn("label", F.col("t")))
+    forget(sizes, members)
     links, label = None, None
 
     def more(pairs: DataFrame) -> DataFrame:
+        """Labels once the distinct (a, b) have been compared too."""
         nonlocal links
-        found = cut(compared(cut(pairs.distinct()), texts, linked))
-        links = found if links is None else links.unionByName(found)
-        return cut(components(links))
+        found = compared(pairs, texts, linked)
+        links = found if links is None else cut(links.unionByName(found))
+        return components(links)
+
+    def may_be(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.distinct())
+        x, y = features.select(F.col("t").alias("a"), "x"), features.select(F.col("t").alias("b"), F.col("x").alias("y"))
+        out = cut(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(near(F.col("x"), F.col("y"))).select("a", "b"))
+        forget(pairs)
+        return out
 
     for star in range(STARS):
-        strongest = F.struct("met", "t")
-        if star:
-            outside = rows.where(F.col("indexed") & (F.col("label") != F.col("of_first")))
-        else:
-            outside = rows.where("indexed")
-        centres = cut(outside.groupBy("b").agg(F.max_by(F.struct("t", "label", "sketch"), strongest).alias("c")))
-        pairs = rows.join(centres, "b").where((F.col("label") != F.col("c.label")) & _near("sketch", "c.sketch", differ))
-        label = more(pairs.select(F.col("c.t").alias("a"), F.col("t").alias("b")))
-        rows = rows.join(centres.select("b", F.col("c.t").alias("c1")), "b", "left").withColumn("c0", F.coalesce("c0", "c1")).drop("c1", "label", "of_first")
-        rows = cut(rows.join(label, "t", "left").withColumn("label", F.coalesce("label", "t")))
-        still = rows.groupBy("b").agg(
-            F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.when(F.col("t") == F.col("c0"), F.col("label"))).alias("of_first")
+        outside = rows.where(F.col("indexed") & (F.col("label") != F.col("of_first")) if star else F.col("indexed"))
+        centres = cut(outside.groupBy("b").agg(F.max_by(F.struct("t", "label"), F.struct("met", "t")).alias("c")))
+        pairs = rows.join(centres, "b").where(F.col("label") != F.col("c.label")).select(F.col("c.t").alias("a"), F.col("t").alias("b"))
+        label = more(may_be(pairs))
+        now = rows.drop("label").join(label, "t", "left").withColumn("label", F.coalesce("label", "t"))
+        if not star:
+            now = now.join(centres.select("b", F.col("c.t").alias("c0")), "b", "left")
+        now = cut(now.drop("of_first"))
+        still = now.groupBy("b").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("t") == F.col("c0"), F.col("label"))).alias("of_first")
         )
-        rows = cut(rows.join(cut(still.where("x < y").select("b", "of_first")), "b"))
+        still = cut(still.where("low < high").select("b", "of_first"))
+        before, rows = rows, cut(now.join(still, "b"))
+        forget(before, now, still, centres)
         if rows.isEmpty():
             return label
-    some = rows.where("label != of_first").select("b", F.col("t").alias("t1"), F.col("label").alias("l1"), F.col("sketch").alias("s1"), F.col("indexed").alias("i1"))
-    every = cut(rows).select("b", F.col("t").alias("t2"), F.col("label").alias("l2"), F.col("sketch").alias("s2"), F.col("indexed").alias("i2"))
-    cross = cut(some).join(every, "b").where((F.col("l1") != F.col("l2")) & (F.col("i1") | F.col("i2")) & _near("s1", "s2", differ))
-    return more(cross.select(F.greatest("t1", "t2").alias("a"), F.least("t1", "t2").alias("b")))
+    full = cut(rows.select("b", "t", "label", "indexed", "of_first").join(features.hint("merge"), "t"))
+    some = full.where("label != of_first").select("b", F.col("t").alias("t1"), F.col("label").alias("l1"), F.col("x").alias("x1"), F.col("indexed").alias("i1"))
+    every = full.select(
+        "b", F.col("t").alias("t2"), F.col("label").alias("l2"), F.col("x").alias("x2"), F.col("indexed").alias("i2"), (F.col("label") != F.col("of_first")).alias("both")
+    )
+    # a pair of members that are both outside the first class would come twice
+    once = ~F.col("both") | (F.col("t1") < F.col("t2"))
+    cross = some.join(every.hint("merge"), "b").where(
+        (F.col("l1") != F.col("l2")) & (F.col("i1") | F.col("i2")) & once & near(F.col("x1"), F.col("x2")) & first(F.col("b"), F.col("x1"), F.col("x2"))
+    )
+    pairs = cut(cross.select(F.greatest("t1", "t2").alias("a"), F.least("t1", "t2").alias("b")).distinct())
+    forget(full, rows)
+    return more(pairs)

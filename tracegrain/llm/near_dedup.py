@@ -8,39 +8,44 @@ probability of their weighted Jaccard similarity.  Ranks are thrown cell by cell
 each as wide as all before it; once every coordinate has a dart, no later cell
 matters, so long documents throw few darts for each unit and short ones many.
 
-Signatures of 48 bands of 8 rows meet a document of similarity 0.8 with a chance
-of 1 - 2e-4, and one of 0.4, such as texts that share a passage, with 3 %.  What
-shares a band is verified by its exact weighted Jaccard similarity, 0.8 or more,
-and grouped (cluster.py); pairs are left out where one bit of each dart differs
-in more than ``DIFFER`` of 384, six standard deviations above the mean at 0.8.
+Of each dart 8 bits are kept, in 48 bands of 8 darts, a number of 64 bits each.
+These bands meet a document of similarity 0.8 with a chance of 1 - 1.5e-4, and one
+of 0.4, such as texts that share a passage, with 3 %.  What shares a band is
+verified by its exact weighted Jaccard similarity, 0.8 or more, and grouped
+(cluster.py).  Pairs are left out where more than ``DIFFER`` of the 384 darts
+differ, or ``BITS_DIFFER`` of one bit of each, which a pair at 0.8 does with a
+chance of 5e-5, and a closer one less often.
 Equal texts are one element of the join and meet again at the end.
 
 Texts are named by 64-bit hashes: among 1e9 different texts, two get one name
 with a chance of 3 %, and would then count as copies.
 
-Scale: signatures are 440 bytes for each distinct text.  Texts are shuffled
-once, to meet the names of those that share a band; only these are kept.
+Scale: signatures are 440 bytes for each row.  Texts are shuffled once, to meet
+the names of those that share a band; only these are kept.  Long texts need
+memory in proportion to their own length only.
 
 Edge cases: null texts are empty; all texts without a word are alike only if
 equal; a text of fewer than five words is one element; the class is named by
-its lowest doc_id (null ones last); repeated rows have equal classes; an empty
-table gives no rows.
+its lowest doc_id (null ones last); repeated rows have equal classes, and each
+is kept if one is; of texts that tie for the lowest doc_id, the one of lower hash
+is kept; an empty table gives no rows.  Extra columns stay; those named class_id
+or kept get _in appended.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import cluster
-from .common import cut, word_hashes, words
+from .common import cut, forget, fresh, out_of_the_way, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 48, 8
 K = BANDS * ROWS
-DIFFER = 74
+DIFFER, BITS_DIFFER = 108, 68
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 FIRST_CELL = 1.0
 
@@ -123,11 +128,8 @@ def signature(u: np.ndarray) -> np.ndarray:
 
 
 def bands(dart: np.ndarray) -> np.ndarray:
-    x = dart.reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64) * _C3
-    for i in range(ROWS):
-        out = _mix(out + x[:, i]) * _C1
-    return _mix(out).view(np.int64)
+    """8 bits of each dart, those of a band in one number."""
+    return (dart >> np.uint64(8)).astype(np.uint8).view(np.int64)
 
 
 def sketch(dart: np.ndarray) -> np.ndarray:
@@ -136,27 +138,48 @@ def sketch(dart: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches):
-    memo: dict[str, int] = {}
-    with np.errstate(over="ignore"):
-        for pdf in batches:
-            names, out, bits = [], [], []
-            for t, text in zip(pdf["t"], pdf["text"], strict=True):
-                h = word_hashes(words(text), memo)
-                if len(h):
-                    dart = signature(units(elements(h)))
-                    names.append(t)
-                    out.append(bands(dart))
-                    bits.append(sketch(dart))
-            yield pd.DataFrame({"t": np.array(names, np.int64), "bands": pd.Series(out, dtype=object), "sketch": pd.Series(bits, dtype=object)})
+    for pdf in batches:
+        out, bits = [], []
+        for text in pdf["text"]:
+            h = word_hashes(text)
+            with np.errstate(over="ignore"):
+                dart = signature(units(elements(h))) if len(h) else None
+            out.append(None if dart is None else bands(dart))
+            bits.append(None if dart is None else sketch(dart))
+        yield pd.DataFrame({"t": pdf["t"], "d": pdf["d"], "bands": pd.Series(out, dtype=object), "bits": pd.Series(bits, dtype=object)})
+
+
+def _bucket(place: Column, band: Column) -> Column:
+    """The name of a band's bucket; its last six bits are the band's place."""
+    return F.xxhash64(place, band).bitwiseAND(F.lit(-64)).bitwiseOR(place.cast("long"))
+
+
+def _near(x: Column, y: Column) -> Column:
+    bits = F.zip_with(x["bits"], y["bits"], lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+
+    def bytes_differ(p: Column, q: Column) -> Column:
+        z = p.bitwiseXOR(q)
+        for n in (4, 2, 1):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, n))
+        return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+
+    def total(each: Column) -> Column:
+        return F.aggregate(each, F.lit(0), lambda s, n: s + n)
+
+    return (total(bits) <= BITS_DIFFER) & (total(F.zip_with(x["bands"], y["bands"], bytes_differ)) <= DIFFER)
+
+
+def _first(b: Column, x: Column, y: Column) -> Column:
+    same = F.transform(F.zip_with(x["bands"], y["bands"], lambda p, q: p == q), lambda e, i: F.when(e, i))
+    return F.array_min(same) == b.bitwiseAND(F.lit(63))
 
 
 def linked(centre: str, others: list[str]) -> list[bool]:
     """Whether the weighted Jaccard similarity, exactly, is SIMILAR or more."""
-    memo: dict[str, int] = {}
 
     def of(text: str):
         with np.errstate(over="ignore"):
-            return np.unique(elements(word_hashes(words(text), memo)), return_counts=True)
+            return np.unique(elements(word_hashes(text)), return_counts=True)
 
     x, cx = of(centre)
     n, out = int(cx.sum()), []
@@ -180,27 +203,32 @@ def named(docs: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame) -> DataFrame:
     """(t, d, first): for each distinct text its lowest doc_id, and the (d, t) of the document that its class keeps."""
     rows = named(docs)
-    signed = rows.select("t", "text").mapInPandas(_sign, "t long, bands array<long>, sketch array<long>")
-    signed = cut(signed.groupBy("t").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    bt = signed.select("t", F.explode("bands").alias("b"))
-    shared = bt.groupBy("b").agg(F.min("t").alias("c"), F.max("t").alias("m")).where("c < m").select("b")
-    members = bt.join(cut(shared), "b").withColumn("indexed", F.lit(True))
-    owners = cut(rows.groupBy("t").agg(F.min("d").alias("d")))
+    signed = cut(rows.mapInPandas(_sign, "t long, d long, bands array<long>, bits array<long>"))
+    bt = signed.select("t", F.posexplode("bands").alias("j", "band")).select("t", _bucket(F.col("j"), F.col("band")).alias("b"))
+    shared = cut(bt.groupBy("b").agg(F.min("t").alias("c"), F.max("t").alias("m")).where("c < m").select("b"))
+    members = bt.join(shared.hint("merge"), "b").distinct().withColumn("indexed", F.lit(True))
+    owners = cut(signed.groupBy("t").agg(F.min("d").alias("d")))
+
+    def features_of(names: DataFrame) -> DataFrame:
+        own = names.select("t").join(owners.hint("merge"), "t")
+        return signed.join(own.hint("merge"), ["t", "d"]).select("t", "d", F.struct("bands", "bits").alias("x")).dropDuplicates(["t", "d"]).drop("d")
 
     def texts_of(names: DataFrame) -> DataFrame:
-        own = names.join(owners, "t").join(signed.select("t", "sketch"), "t")
-        return rows.join(own, ["t", "d"]).select("t", "text", "sketch")
+        own = names.join(owners.hint("merge"), "t")
+        return rows.join(own.hint("merge"), ["t", "d"]).dropDuplicates(["t", "d"]).select("t", "text")
 
-    label = cluster.classes(members, texts_of, linked, DIFFER)
-    all_ = cut(owners.join(label, "t", "left").withColumn("label", F.coalesce("label", "t")))
+    label = cluster.classes(members, features_of, texts_of, linked, _near, _first)
+    forget(signed, shared)
+    all_ = cut(owners.join(label.hint("merge"), "t", "left").withColumn("label", F.coalesce("label", "t")))
     lowest = cut(all_.groupBy("label").agg(F.min(F.struct("d", "t")).alias("first")))
-    return cut(all_.join(lowest, "label").select("t", "d", "first"))
+    return cut(all_.join(lowest.hint("merge"), "label").select("t", "d", "first"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with class_id (the lowest doc_id of its class) and kept (whether it is that document)."""
-    found = near_classes(docs).select(F.col("t").alias("__t"), F.col("first").alias("__c"))
-    out = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).join(found, "__t", "left")
+    t, c = fresh("t"), fresh("c")
+    found = near_classes(docs).select(F.col("t").alias(t), F.col("first").alias(c))
+    out = out_of_the_way(docs, "class_id", "kept").withColumn(t, F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).join(found.hint("merge"), t, "left")
     last = F.lit(2**63 - 1)
-    own = (F.coalesce(F.col("doc_id"), last) == F.col("__c.d")) & (F.col("__t") == F.col("__c.t"))
-    return out.withColumns({"class_id": F.when(F.col("__c.d") != last, F.col("__c.d")), "kept": own}).drop("__t", "__c")
+    own = (F.coalesce(F.col("doc_id"), last) == F.col(f"{c}.d")) & (F.col(t) == F.col(f"{c}.t"))
+    return out.withColumns({"class_id": F.when(F.col(f"{c}.d") != last, F.col(f"{c}.d")), "kept": own}).drop(t, c)
