@@ -89,70 +89,69 @@ def choices(h: np.ndarray, window: int = WINDOW, seed: int = SEED):
     return s, inverse, seeds, new, last, at[new]
 
 
-_ROWS = ["k1", "k2", "first", "n", "off", "h9", "right", "left", "context"]
-_SCHEMA = "k1 long, k2 long, first int, n int, off int, h9 long, right long, left long, context long"
+_CHOICES = "k1 long, k2 long, first int, n int, off int, h9 long, right long, left long, context long"
+_WINDOWS = "h9 long, context long, count long, i int, w long"
 
 
-def _choose(window: int, seed: int):
+def _frames(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """One frame of many tuples of arrays."""
+    columns = [c.split() for c in schema.split(", ")]
+    arrays = [np.concatenate([r[i] for r in rows]) for i in range(len(columns))]
+    return pd.DataFrame({
+        name: x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int32 if kind == "int" else np.int64, copy=False)
+        for (name, kind), x in zip(columns, arrays, strict=True)
+    })
+
+
+def _in_parts(schema: str, made):
+    """A mapInPandas function: made(pdf) gives tuples of arrays, which go out some 50,000 rows at a time."""
+
     def f(batches):
-        memo: dict[str, int] = {}
-        with np.errstate(over="ignore"):
-            for pdf in batches:
-                parts, size = [], 0
-                for k1, k2, text in zip(pdf["k1"], pdf["k2"], pdf["text"], strict=True):
-                    tokens = words(text)
-                    if len(tokens) < window:
-                        continue
-                    h = word_hashes(tokens, memo)
-                    s, inverse, seeds, first, last, place = choices(h, window, seed)
-                    n = len(first)
-                    twice = 2 * seed
-                    # the longer run has to lie inside all windows' words; else it says nothing and is left out
-                    right = np.where(place + twice <= len(h), _runs(s, inverse, np.minimum(place, len(h) - twice), twice), np.uint64(0))
-                    left = np.where(place >= seed, _runs(s, inverse, np.maximum(place - seed, 0), twice), np.uint64(0))
-                    context = _runs(s, inverse, first, last - first + window) + (place - first).astype(np.uint64)
-                    parts.append(pd.DataFrame({
-                        "k1": np.full(n, k1), "k2": np.full(n, k2), "first": first.astype(np.int32), "n": (last - first + 1).astype(np.int32),
-                        "off": (place - first).astype(np.int32), "h9": seeds[place].view(np.int64), "right": right.view(np.int64),
-                        "left": left.view(np.int64), "context": context.view(np.int64),
-                    }))
-                    size += n
+        for pdf in batches:
+            parts, size = [], 0
+            with np.errstate(over="ignore"):
+                for row in made(pdf):
+                    parts.append(row)
+                    size += len(row[0])
                     if size > 50_000:
-                        yield pd.concat(parts)
+                        yield _frames(parts, schema)
                         parts, size = [], 0
-                if parts:
-                    yield pd.concat(parts)
+            if parts:
+                yield _frames(parts, schema)
 
     return f
 
 
-def _list_windows(window: int, seed: int):
-    """(k1, k2, text, wanted: first and n of choices) to a row for each of their windows."""
+def _choose(window: int, seed: int):
+    twice = 2 * seed
 
-    def f(batches):
-        memo: dict[str, int] = {}
-        with np.errstate(over="ignore"):
-            for pdf in batches:
-                parts, size = [], 0
-                for text, wanted in zip(pdf["text"], pdf["wanted"], strict=True):
-                    s, inverse = _prefix(word_hashes(words(text), memo))
-                    h9, context, count, first, n, off = (
-                        np.array([c[k] for c in wanted], np.int64) for k in ("h9", "context", "count", "first", "n", "off")
-                    )
-                    i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    start = np.repeat(first, n) + i
-                    parts.append(pd.DataFrame({
-                        "h9": np.repeat(h9, n), "context": np.repeat(context, n), "count": np.repeat(count, n), "i": i.astype(np.int32),
-                        "w": (_runs(s, inverse, start, window) + (np.repeat(off, n) - i).astype(np.uint64)).view(np.int64),
-                    }))
-                    size += len(i)
-                    if size > 50_000:
-                        yield pd.concat(parts)
-                        parts, size = [], 0
-                if parts:
-                    yield pd.concat(parts)
+    def made(pdf):
+        for k1, k2, text in zip(pdf["k1"], pdf["k2"], pdf["text"], strict=True):
+            h = word_hashes(text)
+            if len(h) < window:
+                continue
+            s, inverse, seeds, first, last, place = choices(h, window, seed)
+            # the longer run has to lie inside all windows' words; else it says nothing and is left out
+            right = np.where(place + twice <= len(h), _runs(s, inverse, np.minimum(place, len(h) - twice), twice), np.uint64(0))
+            left = np.where(place >= seed, _runs(s, inverse, np.maximum(place - seed, 0), twice), np.uint64(0))
+            context = _runs(s, inverse, first, last - first + window) + (place - first).astype(np.uint64)
+            yield np.full(len(first), k1), np.full(len(first), k2), first, last - first + 1, place - first, seeds[place], right, left, context
 
-    return f
+    return _in_parts(_CHOICES, made)
+
+
+def _list_windows(window: int):
+    """(text, wanted: first and n of choices) to a row for each of their windows."""
+
+    def made(pdf):
+        for text, wanted in zip(pdf["text"], pdf["wanted"], strict=True):
+            s, inverse = _prefix(word_hashes(text))
+            h9, context, count, first, n, off = (np.array([c[k] for c in wanted], np.int64) for k in ("h9", "context", "count", "first", "n", "off"))
+            i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            w = _runs(s, inverse, np.repeat(first, n) + i, window) + (np.repeat(off, n) - i).astype(np.uint64)
+            yield np.repeat(h9, n), np.repeat(context, n), np.repeat(count, n), i, w
+
+    return _in_parts(_WINDOWS, made)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -172,39 +171,39 @@ def _twice(rows: DataFrame, *by: str) -> DataFrame:
 def marks(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(k1, k2, runs): for each text with repeated windows, the first window and the bits of the choices that have some."""
     texts = _texts(docs)
-    rows = cut(texts.select("k1", "k2", "text").mapInPandas(_choose(window, seed), _SCHEMA))
-    level1 = cut(rows.join(_twice(rows.select("h9"), "h9"), "h9", "left_semi"))
-    forget(rows)
-    runs = level1.select(F.explode(F.array("right", "left")).alias("r"), "h9").where("r != 0")
-    again = _twice(runs, "h9", "r")
-    level2 = (
-        level1.join(again.withColumnRenamed("r", "right").withColumn("a", F.lit(True)), ["h9", "right"], "left")
-        .join(again.withColumnRenamed("r", "left").withColumn("b", F.lit(True)), ["h9", "left"], "left")
+    rows = cut(texts.select("k1", "k2", "text").mapInPandas(_choose(window, seed), _CHOICES))
+    again = _twice(rows.select("h9"), "h9")
+    level1 = cut(rows.join(again.hint("merge"), "h9", "left_semi"))
+    forget(rows, again)
+    again = _twice(level1.select(F.explode(F.array("right", "left")).alias("r"), "h9").where("r != 0"), "h9", "r")
+    level2 = cut(
+        level1.join(again.withColumnRenamed("r", "right").withColumn("a", F.lit(True)).hint("merge"), ["h9", "right"], "left")
+        .join(again.withColumnRenamed("r", "left").withColumn("b", F.lit(True)).hint("merge"), ["h9", "left"], "left")
         .where("a or b").drop("a", "b", "right", "left")
     )
-    level2 = cut(level2)
-    forget(level1)
+    forget(level1, again)
     # the last level: contexts, one row each
-    contexts = level2.groupBy("h9", "context").agg(
-        F.count(F.lit(1)).alias("count"), F.min(F.struct("k1", "k2", "first", "n", "off")).alias("at")
-    )
-    contexts = cut(contexts)
-    several = _twice(contexts, "h9")
+    contexts = cut(level2.groupBy("h9", "context").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("k1", "k2", "first", "n", "off")).alias("at")))
+    several = _twice(contexts.select("h9"), "h9")
     open_ = contexts.join(several, "h9", "left_semi")
     wanted = open_.select("at.k1", "at.k2", F.struct("h9", "context", "count", "at.first", "at.n", "at.off").alias("x"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("x").alias("wanted"))
-    # the same exchange of the texts as in dedup_substrings(), which Spark then makes once
-    one = texts.join(wanted, ["k1", "k2"]).select("doc_id", "text", "wanted")
-    listed = one.mapInPandas(_list_windows(window, seed), "h9 long, context long, count long, i int, w long").distinct()
-    repeated = listed.groupBy("h9", "w").agg(F.sum("count").alias("s")).where("s > 1").select("h9", "w")
-    bits = listed.join(repeated, ["h9", "w"]).groupBy("h9", "context").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"))
+    one = texts.join(wanted.hint("merge"), ["k1", "k2"]).select("text", "wanted")
+    # copies of a text list the same windows
+    listed = cut(one.mapInPandas(_list_windows(window), _WINDOWS).distinct())
+    forget(several)
+    repeated = cut(listed.groupBy("h9", "w").agg(F.sum("count").alias("s")).where("s > 1").select("h9", "w"))
+    bits = listed.join(repeated.hint("merge"), ["h9", "w"]).groupBy("h9", "context").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"))
     whole = F.expr("shiftleft(1L, at.n) - 1")
     bits = contexts.where("count > 1").select("h9", "context", whole.alias("bits")).unionByName(
-        contexts.where("count = 1").select("h9", "context").join(bits, ["h9", "context"])
+        contexts.where("count = 1").select("h9", "context").join(bits.hint("merge"), ["h9", "context"])
     )
     bits = cut(bits)
-    found = level2.join(bits, ["h9", "context"]).select("k1", "k2", "first", "bits").distinct()
-    return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "bits")).alias("runs"))
+    forget(listed, repeated, contexts)
+    found = level2.join(bits.hint("merge"), ["h9", "context"]).select("k1", "k2", "first", "bits").distinct()
+    out = cut(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "bits")).alias("runs")))
+    forget(level2, bits)
+    return out
 
 
 def _strip(window: int):
@@ -235,7 +234,7 @@ def _strip(window: int):
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) of every document."""
-    marked = _texts(docs).join(marks(docs, window, seed), ["k1", "k2"], "left")
+    marked = _texts(docs).join(marks(docs, window, seed).hint("merge"), ["k1", "k2"], "left")
     return marked.select("doc_id", "text", "runs").mapInPandas(
         _strip(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     )
