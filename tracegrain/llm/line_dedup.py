@@ -262,7 +262,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
 
     def lines(batches):
         for part in _distinct(batches):
-            yield pd.DataFrame({"t": np.array([name(x) for x in part], np.int64), "text": part})
+            yield pd.DataFrame({"t": np.array([name(x) for x in part], np.int64), "text": pd.Series(part, dtype=object)})
 
     def texts_of(names: DataFrame) -> DataFrame:
         return texts.mapInPandas(lines, "t long, text string").join(names.hint("merge"), "t").dropDuplicates(["t"])
