@@ -2,6 +2,7 @@ import json
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracegrain import __main__ as cli
 from tracegrain.operators import diffs, features, findings, learn, parse, report, studies
@@ -80,18 +81,22 @@ def test_stream_equals_batch_and_replays_add_nothing(spark, tmp_path):
 
 def test_features_and_ranker(spark, tmp_path):
     assert len(features.names()) == len(set(features.names())) == 88
-    rows = features.extract(parse.parse(snippets.sources(spark.range(96), "id"))).where("function <> '<module>'")
-    from pyspark.sql import functions as F
-
-    rows = rows.withColumn("label", F.substring_index("function", "_", 1)).persist()
-    model = learn.train(rows, "label", trees=5)
+    scopes = parse.parse(snippets.sources(spark.range(176), "id")).persist()
+    flows = findings.flows(scopes).where("detector = 'taint'").groupBy("path", "scope").agg(F.min("cwe").alias("label"))
+    rows = features.extract(scopes).join(flows, ["path", "scope"]).persist()
+    model = learn.train(rows, "label", group="path", trees=2, depth=3)
     learn.save(model, str(tmp_path / "m"))
     out = learn.predict(learn.load(str(tmp_path / "m")), rows)
-    assert out.where("model_label = label").count() > 0.7 * rows.count()
+    e = learn.evaluate(out, "label").first()
+    assert e["rows"] == rows.count() and e["accuracy"] > 0.9 and e["top_right"] >= e["right"]
     assert len(learn.importances(model)) == 10
+    found = findings.findings(scopes)
+    refined = learn.refined(found, scopes, model)
+    assert refined.count() == found.count() and refined.where("detector = 'pattern' and reason is not null").isEmpty()
+    assert learn.available(str(tmp_path / "none"))[0] is None and learn.available(None) == (None, "") and learn.available(str(tmp_path / "m"))[1] == ""
     (tmp_path / "m/layout").rename(tmp_path / "m/old")
     spark.createDataFrame([(1, ["a"], ["b"])], "version int, features array<string>, labels array<string>").write.json(str(tmp_path / "m/layout"))
-    with pytest.raises(ValueError, match="layout 1"):
+    with pytest.raises(ValueError, match="another layout"):
         learn.load(str(tmp_path / "m"))
 
 

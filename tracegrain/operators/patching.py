@@ -18,6 +18,12 @@ REFUSED = {
     "SQL": "needs a parameterised statement", "DESER": "needs another data format", "NET": "needs a list of allowed hosts",
     "CRYPTO": "needs a choice of algorithm and a migration", "CRED": "needs a secret store", "UPLOAD": "needs a policy for stored files",
 }
+#: What is put around a sink's text to see whether its class of sanitiser kills the flow.
+PROBE = {
+    "SQL": "sqlalchemy.sql.text", "XSS": "html.escape", "FILE": "os.path.basename", "EXEC": "shlex.quote", "NET": "urllib.parse.urlparse",
+    "REDIRECT": "urllib.parse.urlparse", "DESER": "json.loads", "CRYPTO": "hashlib.sha256", "CRED": "os.getenv", "UPLOAD": "os.path.basename",
+    "XXE": "defusedxml.fromstring",
+}
 SCHEMA = "path string, trace_id string, category string, refused boolean, rationale string, patched string, line_delta int"
 
 
@@ -115,3 +121,33 @@ def repair(sources: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "patched", "applied"])
 
     return sources.select("path", "source").mapInPandas(f, "path string, patched string, applied int")
+
+
+def probed(traces: DataFrame, sources: DataFrame) -> DataFrame:
+    """(path, trace_id, category, probe): the source with the text between the sink call's brackets wrapped, up to the first that closes; null if it isn't there."""
+    line = F.get(F.split("source", "\n", -1), F.col("sink_line") - 1)
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in PROBE.items() for x in kv]), F.col("category"))
+    token = F.concat("sink_call", F.lit("("))
+    joined = traces.join(sources.select("path", "source"), "path").withColumns({"line": line, "token": token, "wrap": name})
+    joined = joined.withColumns({"at": F.expr("instr(line, token)"), "head": F.expr("substr(line, 1, instr(line, token) + length(token) - 1)")})
+    joined = joined.withColumn("rest", F.expr("substr(line, length(head) + 1)")).withColumn("end", F.expr("instr(rest, ')')"))
+    made = F.expr("concat(head, wrap, '(', substr(rest, 1, end - 1), ')', substr(rest, end))")
+    put = F.transform(F.split("source", "\n", -1), lambda x, i: F.when(i == F.col("sink_line") - 1, made).otherwise(x))
+    whole = F.when((F.col("at") > 0) & (F.col("end") > 1), F.array_join(put, "\n"))
+    return joined.select("path", "trace_id", "category", whole.alias("probe"))
+
+
+def kills(traces: DataFrame, sources: DataFrame) -> DataFrame:
+    """(path, trace_id, category, killed): whether no flow is left in the probe; null where there is none."""
+    probes = probed(traces, sources).withColumn("key", F.concat_ws("|", "path", "trace_id"))
+    scanned = parse.parse(probes.where("probe is not null").select(F.col("key").alias("path"), F.col("probe").alias("source")))
+    left = findings.flows(scanned).select(F.col("path").alias("key")).distinct().withColumn("left", F.lit(True))
+    killed = F.when(F.col("probe").isNotNull(), F.col("left").isNull())
+    return probes.join(left, "key", "left").select("path", "trace_id", "category", killed.alias("killed"))
+
+
+def rendered(status: DataFrame) -> DataFrame:
+    """(line): patches by what became of them; refused ones were declined."""
+    what = F.when(F.col("refused"), "declined").when(F.col("accepted"), "accepted").otherwise("rejected")
+    shown = F.format_string("%-8s %s %s: %s", what, "path", "category", "rationale")
+    return status.withColumn("what", what).orderBy("what", "path", "trace_id").select(shown.alias("line"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +112,30 @@ def sources(keys: DataFrame, key: str) -> DataFrame:
     return keys.select(F.concat(F.lit("p"), F.col(key).cast("string"), F.lit(".py")).alias("path"), source_of(F.col(key)).alias("source"))
 
 
+_DEF = re.compile(r"^( *)(?:async )?def (\w+)\(", re.M)
+
+
+def qualnames_sql() -> str:
+    """(i, qualname, imports) of the functions of templates that parse, as an SQL relation, read off the text by lines."""
+    rows = []
+    for i, (text, _) in enumerate(TEMPLATES):
+        if "(:" not in text:
+            owner = re.search(r"^class (\w+)", text, re.M)
+            imports = "true" if re.search(r"^(import|from) ", text) else "false"
+            rows += [f"({i}, '{owner[1] + '.' if m[1] and owner else ''}{m[2]}', {imports})" for m in _DEF.finditer(text)]
+    return f"(VALUES {', '.join(rows)}) AS q(i, qualname, imports)"
+
+
+def names_sql() -> str:
+    """(i, name) of the last function of each template that has a finding; it is the one with the sink."""
+    rows = []
+    for i, (text, e) in enumerate(TEMPLATES):
+        if e:
+            names = [m[2] for m in _DEF.finditer(text) if "(:" not in text[m.start() : m.end() + 1]]
+            rows.append(f"({i}, '{names[-1].removesuffix('_N') if names else ''}')")
+    return f"(VALUES {', '.join(rows)}) AS f(i, name)"
+
+
 def expected_sql() -> str:
     """(i, cwe, sink, detector, severity, origin) as an SQL relation."""
     rows = ", ".join(f"({i}, " + ", ".join(f"'{v}'" for v in e) + ")" for i, (_, e) in enumerate(TEMPLATES) if e)
