@@ -5,7 +5,7 @@ from tracegrain.plans import registry as R
 
 
 def hits(source):
-    return [h for row in parse.facts("x.py", source) for h in (row[16] or [])]
+    return [h for row in parse.facts("x.py", source) for h in (row[17] or [])]
 
 
 @pytest.mark.parametrize(("name", "sink"), [

@@ -1,4 +1,4 @@
-"""python -m tracegrain --path DIR [--json | --sarif | --traces] [--suppress FILE] [--fail-on never|high|any]"""
+"""python -m tracegrain --path DIR [--json | --sarif | --traces | --cross] [--suppress FILE] [--fail-on never|high|any]"""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from tracegrain.operators import findings, parse, patching, report
+from tracegrain.operators import findings, interproc, parse, patching, report
+from tracegrain.operators.tables import cut
 from tracegrain.sources import readers
 
 
@@ -16,7 +17,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--path", action="append", default=[])
     p.add_argument("--file", action="append", default=[])
     p.add_argument("--stdin", action="store_true")
-    for flag in ("--json", "--sarif", "--traces", "--fix"):
+    for flag in ("--json", "--sarif", "--traces", "--cross", "--fix"):
         p.add_argument(flag, action="store_true")
     p.add_argument("--threshold", type=float, default=0.0)
     p.add_argument("--suppress")
@@ -24,7 +25,7 @@ def main(args: list[str] | None = None) -> int:
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("tracegrain").getOrCreate()
     sources = readers.from_text(spark, sys.stdin.read(), "<stdin>") if a.stdin else readers.from_paths(spark, [*(f"{x.rstrip('/')}/" for x in a.path), *a.file])
-    scopes = parse.parse(sources)
+    scopes = cut(parse.parse(sources))
     if a.fix:
         for r in patching.repair(sources).where("applied > 0").toLocalIterator():
             print(f"# {r['path']}: {r['applied']} patches\n{r['patched']}")
@@ -33,11 +34,18 @@ def main(args: list[str] | None = None) -> int:
         for r in report.traces_to_json(findings.flows(scopes)).toLocalIterator():
             print(r["json"])
         return 0
+    if a.cross:
+        for r in report.to_json(interproc.cross_flows(scopes).orderBy("entry_file", "entry_line", "sink", "trace_id")).toLocalIterator():
+            print(r["json"])
+        return 0
     found = findings.dedupe_and_rank(findings.findings(scopes, threshold=a.threshold))
+    hidden = found.limit(0)
     if a.suppress:
         rules = readers.suppression_rules(spark.read.text(a.suppress))
-        found = findings.suppressed(found, rules, {"cwe": "cwe", "sink": "sink", "file": "path", "trace": "trace_id", "category": "category", "function": "function"}, keep=True)
-    shown = report.sarif_log(found).select("sarif") if a.sarif else report.to_json(found) if a.json else report.text_lines(found)
+        fields = {"cwe": "cwe", "sink": "sink", "file": "path", "trace": "trace_id", "category": "category", "function": "function"}
+        hidden, found = findings.suppressed(found, rules, fields, keep=False), findings.suppressed(found, rules, fields, keep=True)
+    errors = scopes.where("error is not null").select("path", "error")
+    shown = report.sarif_log(found, hidden, errors).select("sarif") if a.sarif else report.to_json(found) if a.json else report.text_lines(found)
     for r in shown.toLocalIterator():
         print(r[0])
     return report.gate(found, a.fail_on)

@@ -57,7 +57,7 @@ def function_spans(source: str | None) -> list[tuple[str, str, int, int]]:
     tree = _tree(source)
     if tree is None:
         return []
-    lines, out, seen = source.split("\n"), [], {}
+    lines, out, seen = (source or "").split("\n"), [], {}
     todo: list[tuple[ast.AST, str]] = [(tree, "")]
     while todo:
         node, prefix = todo.pop(0)
@@ -80,7 +80,7 @@ def context_of(source: str | None) -> str:
     tree = _tree(source)
     if tree is None:
         return ""
-    lines = source.split("\n")
+    lines = (source or "").split("\n")
 
     def kept(s: ast.stmt) -> bool:
         constant = isinstance(s, ast.Assign) and any(isinstance(t, ast.Name) and t.id.isupper() for t in s.targets)

@@ -111,28 +111,39 @@ def contained(traces: DataFrame, scopes: DataFrame) -> DataFrame:
 def pattern_findings(scopes: DataFrame, traces: DataFrame) -> DataFrame:
     """A finding for each category that a function touches without a confirmed flow."""
     dims = R.dims(scopes.sparkSession)
-    touched = scopes.where("error is null and function <> '<module>'").select("path", "function", "scope", "lineno", F.explode("sinks").alias("sink"))
-    touched = touched.join(F.broadcast(dims["sink"].select("sink", "category", "cwe")), "sink")
+    known = F.broadcast(dims["sink"].select("sink", "category", "cwe"))
+    functions = scopes.where("error is null and function <> '<module>'")
+    touched = functions.select("path", "function", "scope", "lineno", F.explode("sinks").alias("sink")).join(known, "sink")
     touched = touched.groupBy("path", "function", "scope", "lineno", "category", "cwe").agg(F.array_join(F.array_sort(F.collect_set("sink")), ",").alias("sink"))
-    sure = traces.where(F.size("origins") > 0).select("path", "scope", "category").distinct()
-    return touched.join(sure, ["path", "scope", "category"], "left_anti").withColumns({"confidence": F.lit(0.40), "detector": F.lit("pattern")})
+    # calls as written, by first occurrence; calls without arguments have none
+    made = functions.select("path", "scope", F.posexplode("hits").alias("ord", "h")).where("not h.amplifier").select("path", "scope", "ord", "h.sink", "h.call").join(known, "sink")
+    first = made.groupBy("path", "scope", "category", "call").agg(F.min("ord").alias("ord")).groupBy("path", "scope", "category").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "call"))).alias("c")
+    )
+    calls = first.select("path", "scope", "category", F.array_join(F.transform("c", lambda x: x["call"]), ",").alias("sink_call"))
+    sure = traces.select("path", "scope", "category").distinct()
+    found = touched.join(sure, ["path", "scope", "category"], "left_anti").join(calls, ["path", "scope", "category"], "left")
+    return found.withColumns({"sink_call": F.coalesce("sink_call", F.lit("")), "confidence": F.lit(0.40), "detector": F.lit("pattern")})
 
 
 def findings(scopes: DataFrame, containment: bool = True, threshold: float = 0.0, **options) -> DataFrame:
     """All findings of parsed scopes, unranked.  ``threshold`` marks, it doesn't drop."""
     traces = flows(scopes, **options)
     rated = traces.withColumn("severity", S.severity(F.col("category"), F.col("confidence")))
+    rated = rated.withColumn("below_threshold", F.col("confidence") < threshold)
     if containment:
         rated = contained(rated, scopes).withColumn(
             "confidence", F.when(F.col("guard_line").isNotNull(), F.least("confidence", F.lit(0.12))).otherwise(F.col("confidence"))
         )
-    columns = ["path", "function", "cwe", "category", "sink", "confidence", "severity", "detector", "origins", "trace_id"]
-    a = rated.select(*columns, F.coalesce(F.nullif("sink_line", F.lit(0)), "lineno").alias("lineno"))
+    columns = [
+        "path", "function", "cwe", "category", "sink", "sink_call", "sink_arg", "confidence", "severity", "detector", "origins", "steps", "kills", "trace_id",
+    ]
+    a = rated.select(*columns, F.coalesce(F.nullif("sink_line", F.lit(0)), "lineno").alias("lineno"), "below_threshold")
     p = pattern_findings(scopes, traces).withColumns({
         "severity": S.severity(F.col("category"), F.col("confidence")), "origins": F.array().cast("array<string>"), "trace_id": F.lit(""),
+        "sink_arg": F.lit("none"), "steps": F.array().cast(traces.schema["steps"].dataType), "kills": F.array().cast("array<string>"),
     })
-    out = a.unionByName(p.select(*columns, "lineno"))
-    return out.withColumn("below_threshold", F.col("confidence") < threshold)
+    return a.unionByName(p.select(*columns, "lineno", F.lit(False).alias("below_threshold")))
 
 
 def dedupe(rows: DataFrame, key: list[str], confidence: str, order: list[str]) -> DataFrame:
@@ -199,17 +210,3 @@ def evidence(rows: DataFrame, key: list[str]) -> DataFrame:
         F.when(F.col("taint").isNotNull(), F.col("taint.category")).when(F.col("amp") == 1, "XSS").when(F.col("n_pattern") == 1, F.col("pattern")).alias("label"),
         F.when(F.col("taint").isNotNull(), 0.90).when(F.col("amp") == 1, 0.60).when(F.col("n_pattern") == 1, 0.40).when(F.col("n_pattern") > 1, 0.25).otherwise(0.0).alias("evidence"),
     )
-
-
-def sarif(rows: DataFrame, tool: str = "tracegrain") -> DataFrame:
-    """One SARIF 2.1.0 result as JSON for each finding, with its rule."""
-    level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
-    where = F.struct(F.struct(
-        F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.greatest("lineno", F.lit(1)).alias("startLine")).alias("region")
-    ).alias("physicalLocation"))
-    result = F.struct(
-        F.col("cwe").alias("ruleId"), level.alias("level"), F.struct(F.concat_ws(" ", "sink", F.lit("in"), "function").alias("text")).alias("message"),
-        F.array(where).alias("locations"), F.struct(F.col("trace_id").alias("traceId")).alias("fingerprints"),
-        F.struct(F.col("confidence"), F.lit(tool).alias("tool")).alias("properties"),
-    )
-    return rows.select("path", "lineno", "cwe", "trace_id", F.to_json(result).alias("result"))

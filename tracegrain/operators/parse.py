@@ -22,6 +22,7 @@ from re import _parser as parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracegrain.plans import registry as R
 
@@ -32,7 +33,7 @@ HIT = (
 )
 SCHEMA = (
     "path string, error string, imports array<string>, scope int, function string, qualname string, lineno int, end_lineno int, params array<string>, "
-    "decorators array<string>, calls array<string>, sinks array<string>, sanitisers array<string>, n_returns int, returns array<int>, sql_literal boolean, "
+    "decorators array<string>, calls array<string>, sinks array<string>, sanitisers array<string>, n_returns int, returns array<int>, returned array<string>, sql_literal boolean, "
     f"hits array<{HIT}>, "
     "invocations array<struct<callee:string,line:int,args:array<struct<origins:array<string>,position:int,keyword:string>>>>, "
     "guards array<struct<line:int,last:int,names:array<string>>>, guarded_returns boolean, sink_names array<struct<line:int,names:array<string>>>"
@@ -110,6 +111,7 @@ class Scope:
     invocations: list = field(default_factory=list)
     guards: list = field(default_factory=list)
     return_lines: list = field(default_factory=list)
+    return_names: list = field(default_factory=list)
     too_deep: bool = False
     sink_names: list = field(default_factory=list)
     returned: list = field(default_factory=list)
@@ -190,6 +192,7 @@ class Interpreter(ast.NodeVisitor):
     def do_Return(self, s) -> None:
         self.scope.n_returns += 1
         self.scope.return_lines.append(s.lineno)
+        self.scope.return_names.append(s.value is not None and isinstance(s.value, ast.Name | ast.Attribute | ast.Call) and dotted(s.value) or "expr")
         if s.value is not None:
             v = self.step(self.value(s.value), s, "return")
             self.scope.returned += sorted(int(o[6:]) for o in v.origins if o.startswith("PARAM#"))
@@ -572,7 +575,7 @@ def parts(source: str) -> list[ast.Module]:
 
 
 def _failed(path: str, error: str) -> tuple:
-    return (path, error, [], None, *[None] * 17)
+    return (path, error, [], None, *[None] * 18)
 
 
 def facts(path: str, source: str | None) -> list[tuple]:
@@ -609,7 +612,7 @@ def facts(path: str, source: str | None) -> list[tuple]:
         out.append(_failed(path, "TooDeep"))
     return out + [
         (path, None, imports, i, s.name, s.qualname, s.line, s.end, s.params, s.decorators, s.calls, s.sinks, s.sanitisers, s.n_returns,
-         sorted(set(s.returned)), s.sql_literal, s.hits, s.invocations, s.guards, guarded_returns(s), s.sink_names)
+         sorted(set(s.returned)), s.return_names, s.sql_literal, s.hits, s.invocations, s.guards, guarded_returns(s), s.sink_names)
         for i, s in enumerate(scopes)
     ]
 
@@ -621,7 +624,7 @@ def guarded_returns(s: Scope) -> bool:
 
 def _parse(batches):
     names = (
-        "path error imports scope function qualname lineno end_lineno params decorators calls sinks sanitisers n_returns returns sql_literal "
+        "path error imports scope function qualname lineno end_lineno params decorators calls sinks sanitisers n_returns returns returned sql_literal "
         "hits invocations guards guarded_returns sink_names"
     ).split()
     step = ("line", "column", "kind", "edge", "detail")
@@ -650,14 +653,21 @@ def _parse(batches):
 
 
 def parse(sources: DataFrame) -> DataFrame:
-    """(path, source) to a row for each scope; equal sources can be parsed once, see ``parse_distinct``."""
-    return sources.select("path", "source").mapInPandas(_parse, SCHEMA)
+    """(path, source[, error]) to a row for each scope; rows with an error stay errors.
+
+    Equal sources can be parsed once, see ``parse_distinct``.
+    """
+    if "error" not in sources.columns:
+        return sources.select("path", "source").mapInPandas(_parse, SCHEMA)
+    out = sources.where("error is null").select("path", "source").mapInPandas(_parse, SCHEMA)
+    empty = F.array().cast("array<string>")
+    bad = {"path": F.col("path"), "error": F.col("error"), "imports": empty}
+    failed = sources.where("error is not null").select(*[bad.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in out.schema])
+    return out.unionByName(failed)
 
 
 def parse_distinct(sources: DataFrame) -> DataFrame:
     """As parse(), each distinct source being parsed once, for trees of many revisions."""
-    from pyspark.sql import functions as F
-
     keyed = sources.withColumn("h", F.sha2("source", 256))
     once = keyed.groupBy("h").agg(F.first("source").alias("source"))
     parsed = parse(once.select(F.col("h").alias("path"), "source")).withColumnRenamed("path", "h")

@@ -100,7 +100,7 @@ def repair(sources: DataFrame) -> DataFrame:
     def hits(source: str) -> list[tuple]:
         out = []
         for row in parse.facts("x", source):
-            for h in row[16] or []:
+            for h in row[17] or []:
                 if h[6] and h[3] is not None and not h[12] and not h[13]:
                     cat = parse.R.SINKS[h[0]][0]
                     if cat not in h[7] and h[3] in parse.R.SINKS[h[0]][1]:

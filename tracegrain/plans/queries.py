@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrain.functions import scalars as S
-from tracegrain.operators import builder, callgraph, corpus, diffs, features, findings, interproc, learn, parse, patching, rename, report, revisions, studies
+from tracegrain.operators import archive, builder, callgraph, corpus, diffs, features, findings, interproc, learn, parse, patching, rename, report, revisions, studies
 from tracegrain.operators.tables import cut
 from tracegrain.plans import registry as R
 from tracegrain.plans import snippets
@@ -172,14 +172,27 @@ def record_vectors(spark, sf):
     return v.select("path", "function")
 
 
-@query()
+@query(f"""SELECT 'p' || p_partkey || '.py' AS path, CASE WHEN e.i IS NULL THEN 0 ELSE 1 END AS results, cwe AS rule,
+    CASE WHEN e.i IS NULL THEN NULL WHEN e.i % 5 = 0 THEN 'note' WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level,
+    coalesce(detector = 'taint' OR detector = 'amplifier', false) AS has_flow, p_partkey % {N} NOT IN (13, 19) AS successful
+  FROM part LEFT JOIN {snippets.expected_sql()} ON p_partkey % {N} = i WHERE e.i IS NOT NULL OR p_partkey % {N} IN (13, 19)""")
 def sarif_report(spark, sf):
-    return report.sarif_log(findings.dedupe_and_rank(findings.findings(_scopes(spark, sf))))
+    """The documents read back; findings of every fifth template are taken for suppressed."""
+    scopes = _scopes(spark, sf)
+    found = findings.dedupe_and_rank(findings.findings(scopes))
+    hidden = F.regexp_extract("path", r"(\d+)", 1).cast("long") % N % 5 == 0
+    log = report.sarif_log(found.where(~hidden), found.where(hidden), scopes.where("error is not null").select("path", "error"))
+    run = lambda p: F.get_json_object("sarif", f"$.runs[0].{p}")
+    return log.select(
+        "path", F.coalesce(F.json_array_length(run("results")), F.lit(0)).alias("results"), run("tool.driver.rules[0].id").alias("rule"), run("results[0].level").alias("level"),
+        run("results[0].codeFlows[0].threadFlows[0].locations[0]").isNotNull().alias("has_flow"), (run("invocations[0].executionSuccessful") == "true").alias("successful"),
+    )
 
 
-@query(f"""SELECT 'p' || p_partkey || '.py' AS path, 'def:add_' || p_partkey || ',arg:a,ret:0' AS tokens FROM part WHERE p_partkey % {N} = 12""")
+@query(f"""SELECT path, replace(t, '_N', '_' || regexp_extract(path, '[0-9]+')) AS tokens FROM (SELECT 'p' || p_partkey || '.py' AS path, CASE i WHEN 12 THEN 'def:add_N,arg:a,ret:expr' WHEN 4 THEN 'def:run_N,arg:folder,call:os.system,sink:EXEC_COMMAND,SCAT:EXEC,meta:no_auth,flow:PARAM->EXEC_COMMAND,tainted:EXEC_COMMAND'
+    WHEN 11 THEN 'def:mark_N,arg:body,call:mark_safe,ret:mark_safe,amp:mark_safe' ELSE 'def:row_N,arg:cursor,arg:key,call:cursor.execute,call:int,sink:SQL_EXECUTE,SCAT:SQL,meta:no_auth' END AS t FROM part, (SELECT unnest([4, 11, 12, 15]) AS i) WHERE p_partkey % {N} = i)""")
 def token_sequence(spark, sf):
-    t = report.tokens(_scopes(spark, sf)).where("scope > 0 and tokens[0] like 'def:add%'")
+    t = report.tokens(_scopes(spark, sf)).where(F.col("scope") > 0).where("tokens[0] rlike '^def:(add|run|mark|row)_' and not exists(tokens, x -> x = 'arg:self')")
     return t.select("path", F.array_join("tokens", ",").alias("tokens"))
 
 
@@ -533,6 +546,27 @@ def json_compare(spark, sf):
     return diffs.compare_json(a, b, ["seconds"])
 
 
+@query("""SELECT event_id AS id, x.path, x.l AS "left", x.r AS "right" FROM events, (VALUES ('a.b[1].c', '1', '2'), ('files[]', '2', '1'), ('files[1]', 'z', NULL)) x(path, l, r) WHERE event_id % 4 = 0
+  UNION ALL SELECT event_id, 'corpus', 'x/one.txt', 'two.txt' FROM events WHERE event_id % 4 = 1""")
+def json_compare_nested(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"))
+    k = F.col("id") % 4
+    a = F.when(k == 1, '{"corpus": "x/one.txt", "p": "a\\\\b"}').otherwise('{"a": {"b": [0, {"c": 1}]}, "files": ["y", "z"], "when": {"t": 1}}')
+    b = F.when(k == 1, '{"corpus": "two.txt", "p": "a/b"}').when(k == 0, '{"a": {"b": [0, {"c": 2}]}, "files": ["y"], "when": {"t": 2}}').otherwise('{"files": ["y", "z"], "a": {"b": [0, {"c": 1}]}, "when": 3}')
+    return diffs.compare_json(e.select("id", a.alias("doc")), e.select("id", b.alias("doc")), ["when"], ("corpus",))
+
+
+@query("SELECT p_partkey, round(CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 / 5.0 WHEN 2 THEN 0 ELSE 1 END, 6)::DOUBLE AS similarity FROM part")
+def change_similarity(spark, sf):
+    """Proposals that are the true patch, another call on its line, no change, and one where there is none to make."""
+    k = F.col("p_partkey") % 4
+    before = F.lit("def f(a):\n    run(a)\n")
+    true = F.when(k == 3, before).otherwise("def f(a):\n    run(quote(a, b))\n")
+    mine = F.when(k == 0, true).when(k == 1, "def f(a):\n    run(quote(a, b, c))\n").otherwise(before)
+    p = table(spark, sf, "part").select("p_partkey", before.alias("b"), mine.alias("m"), true.alias("t"))
+    return diffs.change_similarity(p, "b", "m", "t").select("p_partkey", F.round("similarity", 6).alias("similarity"))
+
+
 # ---- studies
 
 
@@ -622,6 +656,41 @@ def identity_stability(spark, sf):
     return studies.stability(li, ["l_returnflag"], "q", "l_linenumber")
 
 
+@query("""WITH c AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_suppkey) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_partkey FROM lineitem)), f AS (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS r FROM c WHERE n <= 1)
+  SELECT l_orderkey, l_suppkey, l_partkey FROM f WHERE r <= 2""")
+def limited_changes(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").distinct()
+    c = li.select(F.lit("r").alias("repo"), F.col("l_orderkey").alias("commit"), F.col("l_suppkey").alias("path"), F.col("l_partkey").alias("qualname"))
+    return builder.limited(c, 2, 1).select(F.col("commit").alias("l_orderkey"), F.col("path").alias("l_suppkey"), F.col("qualname").alias("l_partkey"))
+
+
+@query("""SELECT k, CASE WHEN NOT a THEN 'removed' WHEN NOT b THEN 'added' WHEN x THEN 'changed' ELSE 'unchanged' END AS status
+  FROM (SELECT o_orderkey AS k, o_orderkey % 3 <> 0 AS b, o_orderkey % 2 = 0 AS a, o_orderkey % 6 = 2 AS x FROM orders) WHERE a OR b""")
+def paired_functions(spark, sf):
+    o = table(spark, sf, "orders").withColumn("k", F.col("o_orderkey"))
+    b = o.where("k % 3 <> 0").select("k", F.lit("x").alias("body"))
+    return builder.paired(b, o.where("k % 2 = 0").select("k", F.when(F.col("k") % 6 == 2, "y").otherwise("x").alias("body")), ["k"], "body")
+
+
+@query("""WITH r AS (SELECT p_size % 3 <> 0 AS ok, CASE WHEN p_size % 3 = 0 THEN p_type END AS reason, p_brand FROM part)
+  SELECT reason, p_brand, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected FROM r GROUP BY GROUPING SETS ((reason), (p_brand), ())""")
+def build_statistics(spark, sf):
+    p = table(spark, sf, "part").select((F.col("p_size") % 3 != 0).alias("ok"), F.col("p_type").alias("reason"), "p_brand")
+    return builder.statistics(p, "ok", "reason", ["p_brand"])
+
+
+@query("""SELECT 'records' AS "set", '' AS value, count(*) AS n FROM orders UNION ALL SELECT 'pairs', '', count(DISTINCT o_custkey) FROM orders
+  UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2""")
+def freeze_counts(spark, sf):
+    return archive.counts(table(spark, sf, "orders").withColumn("pair_id", F.col("o_custkey")), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0")
+def in_scope_advisories(spark, sf):
+    cwes = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("CWE-1"), F.lit("CWE-89"))).when(F.col("o_orderkey") % 3 == 1, F.array(F.lit("CWE-2")))
+    return builder.in_scope(table(spark, sf, "orders").select("o_orderkey", cwes.alias("cwes"))).select("o_orderkey")
+
+
 @query("""WITH e AS (SELECT DISTINCT o_custkey AS k, o_orderstatus AS class FROM orders WHERE o_orderkey % 2 = 0),
   r AS (SELECT o_orderpriority AS tool, o_custkey AS k, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS class FROM orders WHERE o_orderkey % 3 = 0),
   w AS (SELECT tool, k, class FROM (SELECT DISTINCT tool FROM r) CROSS JOIN e), d AS (SELECT DISTINCT tool, k, class FROM r WHERE class IS NOT NULL),

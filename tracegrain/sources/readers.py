@@ -27,22 +27,30 @@ def entered(path: Column) -> Column:
 
 
 def from_paths(spark: SparkSession, paths: list[str], base: str | None = None) -> DataFrame:
-    """The Python files below folders, and named files whatever their extension; each once, by path.
+    """(path, source, error): the Python files below folders, and named files whatever their extension; each once.
 
-    The pruning filter is on the path alone, so contents of pruned files aren't decoded.
+    The file system says what a folder is.  A path that doesn't exist is a row with
+    an error and no source.  The pruning filter is on the path alone, so contents of
+    pruned files aren't decoded.
     """
-    frames = []
-    for p in paths:
+    hadoop = spark._jsparkSession.sessionState().newHadoopConf()
+    frames, missing = [], []
+    for p in dict.fromkeys(paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(hadoop)
+        if not fs.exists(path):
+            missing.append((p, None, "FileNotFound"))
+            continue
         r = spark.read.format("binaryFile")
-        if p.endswith("/") or "." not in p.rsplit("/", 1)[-1]:
+        if fs.getFileStatus(path).isDirectory():
+            root = (base or p).rstrip("/").split("://")[-1]
             found = r.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(p)
-            root = p.rstrip("/").split("://")[-1]
-            frames.append(_decoded(found.where(entered(F.substring_index("path", base or root, -1)))))
+            frames.append(_decoded(found.where(entered(F.substring_index("path", root, -1)))))
         else:
             frames.append(_decoded(r.load(p)))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+    out = spark.createDataFrame(missing, "path string, source string, error string")
+    for f in frames:
+        out = out.unionByName(f.withColumn("error", F.lit(None).cast("string")))
     return out.dropDuplicates(["path"])
 
 
@@ -143,6 +151,13 @@ def synthetic(spark: SparkSession, n: int) -> DataFrame:
     return snippets.sources(spark.range(n), "id")
 
 
+def synthetic_groups(spark: SparkSession, n: int) -> DataFrame:
+    """n generated groups of three files whose functions call one another."""
+    from tracegrain.plans import snippets
+
+    return snippets.groups(spark.range(n), "id")
+
+
 def write_corpus(records: DataFrame, path: str) -> None:
     """Appends records as JSON lines; pairs have to be whole."""
     from tracegrain.operators import studies
