@@ -14,12 +14,13 @@ Targets: the shares of all words by weight, none above ``most`` times its
 source's words, the excess shared again by weight until none is above.
 
 Scale: a stream's offsets are sums over (source, bucket) and then inside a
-bucket, so no task holds a whole source; slots are made in runs of 4,096; the
-join key is unique on the side of the blocks.
+bucket, so no task holds a whole source; slots are made in runs of 4,096; slots
+and pieces, which both grow with the words, meet in a merge join.
 
 Edge cases: a null text has size 0, and documents of size 0 are returned with
 taken 0; the null source is a source like any other and comes last; equal rows
-are documents of their own; an empty table gives no rows.
+are documents of their own; an empty table gives no rows.  Columns are chosen by
+name, so extra ones don't matter to mix(); mixed_documents() keeps them.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut
+from .common import WORD, cut, fresh
 
 BUCKETS = 256
 RUN = 4096
@@ -206,7 +207,7 @@ def mix(docs: DataFrame, block: int = 256, shards: int = 8, seed: int = 8, most:
         F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b))).alias("block"),
     )
     whole = sources.select("source_key", "source_size")
-    joined = pieces.join(slots, ["source_key", "block"]).join(whole, "source_key")
+    joined = pieces.join(slots.hint("merge"), ["source_key", "block"]).join(whole, "source_key")
     first = F.greatest(F.col("at"), F.col("block") * b)
     # a cut slot gives the first words of its block, which may be a short one
     end = F.least(F.col("at") + F.col("size"), F.least((F.col("block") + 1) * b, F.col("source_size")) - F.col("cut"))
@@ -252,17 +253,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     same number of copies, and one of them what remains.
     """
     times = whole_copies(mix(docs, **options)[0]).where("copies > 0")
-    key = ["__d", "__s", "__n", "__o"]
+    d, source, n, o, x, more = map(fresh, ("d", "s", "n", "o", "x", "more"))
+    key = [d, source, n, o]
     times = cut(times.select(
-        F.col("d").alias("__d"), F.col("source_key").alias("__s"), F.col("size").alias("__n"), F.col("o").alias("__o"),
-        F.expr("copies div n").cast("int").alias("__x"), F.expr("copies % n").cast("int").alias("__more"),
+        F.col("d").alias(d), F.col("source_key").alias(source), F.col("size").alias(n), F.col("o").alias(o),
+        F.expr("copies div n").cast("int").alias(x), F.expr("copies % n").cast("int").alias(more),
     ))
     rows = docs.withColumns({
-        "__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__s": _source_key(F.col("source")), "__n": n_words(F.col("text")),
-        "__o": _order_key(F.col("text"), F.col("doc_id")),
+        d: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), source: _source_key(F.col("source")), n: n_words(F.col("text")),
+        o: _order_key(F.col("text"), F.col("doc_id")),
     })
-    out = rows.join(times.where("__x > 0").drop("__more"), key)
-    more = times.where("__more > 0").drop("__x").withColumnRenamed("__more", "__x")
-    if not more.isEmpty():
-        out = out.unionByName(rows.join(more, key).dropDuplicates(key))
-    return out.withColumn("__x", F.explode(F.sequence(F.lit(1), F.col("__x")))).select(*docs.columns)
+    out = rows.join(times.where(F.col(x) > 0).drop(more).hint("merge"), key)
+    rest = times.where(F.col(more) > 0).drop(x).withColumnRenamed(more, x)
+    if not rest.isEmpty():
+        out = out.unionByName(rows.join(rest.hint("merge"), key).dropDuplicates(key))
+    return out.withColumn(x, F.explode(F.sequence(F.lit(1), F.col(x)))).select(*docs.columns)
