@@ -11,15 +11,17 @@ is padded with zeros to a positive multiple of 64 bytes; decode_image() reads
 the header and returns the samples.  The feature is the 64-bit average hash of
 the image's 64 columns followed by the entropy of its samples.
 
-Scale: payloads are never shuffled.  Each is stored, read back and reduced to
-digests and features where its row is read; media rows are made distinct by
-digest before the join, which leaves one row of a hot digest on that side, and
-the other side is an ordinary sort-merge join that Spark can split.
+Scale: payloads are never shuffled.  Each is stored in a table in the shared
+folder; a second job reads the stored bytes back and reduces them to digests and
+features.  Media rows are made distinct by digest before the join, which leaves
+one row of a hot digest on that side, and the other side is an ordinary sort-merge
+join that Spark can split.
 
 Edge cases: null and empty texts are a payload of 64 zeros with n_bytes 0; equal
 texts share one media row; repeated rows are all returned; references without
 payload keep their place with null values; malformed HTML is text as far as it
-can be read; an empty table gives no rows.
+can be read; an empty table gives no rows.  Extra columns of resolve() stay; those named
+like the place or a media column get _in appended.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, fresh, out_of_the_way, small_batches
+
 ROW = 64
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
@@ -67,12 +71,17 @@ def feature_of(samples: bytes) -> str:
     return f"{bits:016x}:{-(share * np.log2(share)).sum() + 0.0:.6f}"
 
 
-def _store(batches):
-    """(digest, text) to the media row of each payload, from its stored bytes."""
+def _encode(batches):
+    """(digest, text) to (digest, media)."""
+    for pdf in batches:
+        yield pd.DataFrame({"digest": pdf["digest"], "media": pd.Series([encode_image(payload_of(text)) for text in pdf["text"]], dtype=object)})
+
+
+def _describe(batches):
+    """(digest, media) to the media row of each payload, from its stored bytes."""
     for pdf in batches:
         rows = []
-        for digest, text in zip(pdf["digest"], pdf["text"], strict=True):
-            stored = encode_image(payload_of(text))
+        for digest, stored in zip(pdf["digest"], pdf["media"], strict=True):
             back = decode_image(stored)
             rows.append((
                 digest, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]),
@@ -89,10 +98,15 @@ def digest_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def media_table(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each distinct payload."""
-    light = docs.select(digest_of(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return light.mapInPandas(_store, MEDIA).dropDuplicates(["digest"])
+def stored_media(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(digest, media): every row's payload as an image, written as a table."""
+    light = small_batches(docs).select(digest_of(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return cut(light.mapInPandas(_encode, "digest string, media binary"))
+
+
+def media_table(stored: DataFrame) -> DataFrame:
+    """A row for each distinct payload of stored_media()."""
+    return stored.mapInPandas(_describe, MEDIA).dropDuplicates(["digest"])
 
 
 def sequence_of(page: str | None) -> list[tuple]:
@@ -143,9 +157,11 @@ def parse_sequence(page: Column) -> Column:
 
 def resolve(pages: DataFrame, sequence: str, media: DataFrame) -> DataFrame:
     """A row for each media reference of ``sequence``, with its place, its caption and the payload's media row."""
-    refs = pages.withColumn("__part", F.explode(sequence)).where("__part.kind = 'media'")
-    refs = refs.withColumns({"position": F.col("__part.position"), "digest": F.col("__part.digest"), "caption": F.col("__part.caption")})
-    return refs.drop("__part").join(media, "digest", "left")
+    part, own = fresh("part"), fresh("sequence")
+    pages = out_of_the_way(pages.withColumnRenamed(sequence, own), "position", "caption", sequence, *media.columns)
+    refs = pages.withColumnRenamed(own, sequence).withColumn(part, F.explode(sequence)).where(F.col(f"{part}.kind") == "media")
+    refs = refs.withColumns({"position": F.col(f"{part}.position"), "digest": F.col(f"{part}.digest"), "caption": F.col(f"{part}.caption")})
+    return refs.drop(part).join(media.hint("merge"), "digest", "left")
 
 
 def text_media(docs: DataFrame) -> DataFrame:
@@ -156,4 +172,4 @@ def text_media(docs: DataFrame) -> DataFrame:
         F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure>"),
     )
     pages = pages.select("doc_id", "n_bytes", parse_sequence(page).alias("sequence"))
-    return resolve(pages, "sequence", media_table(docs))
+    return resolve(pages, "sequence", media_table(stored_media(docs)))
