@@ -2,27 +2,29 @@
 
 Members of a bucket are first compared with one of them, its centre, alone: the
 member that meets most others over all its buckets, which among near copies is
-the text that they vary.  Texts linked that way fall into classes.  Only where a
-bucket still holds more than one class can a link be missing; there a second
-centre, the strongest member outside the first one's class, is tried in the same
-way.  What then is left is compared across classes, so no link between two
-classes is lost, however large a bucket is, and a bucket of a thousand near
-copies costs about a thousand comparisons.
-
-Every text carries features.  ``near`` says of two texts' features whether they
-may be linked (for certain, or with a stated chance); other pairs don't become
-rows.  A pair that shares many buckets becomes a row in the first one alone.
-
-Rows of buckets are names only; features are joined to distinct pairs, and to
-the rows of the buckets that are compared across classes.  Comparisons run in
-groups of a centre and at most ``GROUP`` others, so a text that thousands are
-compared with is sent once for each group.
+the text that they vary.  Of those that aren't linked to it, the strongest is a
+second centre, and the others are compared with that.  Texts linked so far fall
+into classes.  Only where a bucket still holds more than one class can a link be
+missing; what is outside its first centre's class is then compared with all members
+of other classes, so no link between two classes is lost, however large a bucket
+is, and a bucket of a thousand near copies costs about a thousand comparisons.
+
+For that last step every text carries features.  ``near`` says of two texts'
+features whether they may be linked (for certain, or with a stated chance); other
+pairs don't become rows.  A pair that shares many buckets becomes a row in the
+first one alone.
+
+Rows of buckets are names only; features are joined to the rows of the buckets that
+are compared across classes.  Comparisons run in groups of a centre and at most
+``GROUP`` others, so a text that thousands are compared with is sent once for each
+group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,17 +32,30 @@ from pyspark.sql import functions as F
 from .common import cut, forget
 
 GROUP = 64
-STARS = 2
 ROUNDS = 60
 
 
 def compared(pairs: DataFrame, texts: DataFrame, linked: Callable[[str, list[str]], list[bool]]) -> DataFrame:
-    """The (a, b) of the distinct ``pairs`` (cut) that are linked; texts: (t, text)."""
-    groups = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("g")))
-    parts = cut(pairs.join(groups, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("g"))))
-    others = parts.select("a", "g", F.col("b").alias("t"))
-    centres = parts.select("a", "g", F.col("a").alias("t")).distinct()
-    rows = others.unionByName(centres).join(texts.hint("merge"), "t")
+    """The (a, b) of the distinct ``pairs`` that are linked; texts: (t, text)."""
+
+    def grouped(batches):
+        # rows come sorted by a: a new group, which a itself joins, for each a and after GROUP rows
+        from pyspark import TaskContext
+
+        number, last, size = TaskContext.get().partitionId() << 40, None, 0
+        for pdf in batches:
+            out = []
+            for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+                if a != last or size == GROUP:
+                    number, last, size = number + 1, a, 0
+                    out.append((a, number, a))
+                size += 1
+                out.append((a, number, b))
+            yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 3), columns=["a", "g", "t"])
+
+    # partitions by a that Spark can split where one a has very many rows
+    near_a = pairs.hint("rebalance", F.col("a")).sortWithinPartitions("a")
+    rows = near_a.mapInPandas(grouped, "a long, g long, t long").join(texts.hint("merge"), "t")
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         a = pdf["a"].iloc[0]
@@ -49,32 +64,27 @@ def compared(pairs: DataFrame, texts: DataFrame, linked: Callable[[str, list[str
         got = linked(pdf["text"][own].iloc[0], list(rest["text"]))
         return pd.DataFrame({"a": a, "b": rest["t"][pd.Series(got, index=rest.index, dtype=bool)]})
 
-    out = cut(rows.groupBy("a", "g").applyInPandas(f, "a long, b long"))
-    forget(groups, parts)
-    return out
+    return cut(rows.groupBy("a", "g").applyInPandas(f, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(t, label) for both ends of every (a, b): the least t of the component.
 
-    Large-star and small-star rounds in turn; a component's diameter shrinks
-    exponentially.
+    Large-star and small-star rounds in turn, until there are stars only; a
+    component's diameter shrinks exponentially.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    before = None
     for _ in range(ROUNDS):
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+        if ends.groupBy("x").agg(F.sum("up").alias("n"), F.min("up").alias("low")).where("n > 1 or n > 0 and low = 0").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
-        forget(edges, low)
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        edges = cut(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        forget(large, low)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        before, edges = edges, cut(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        forget(before)
     else:
         raise RuntimeError(f"components are not stable after {ROUNDS} rounds")
     out = cut(edges.select(F.col("u").alias("t"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("t"), F.col("v").alias("label")).distinct()))
@@ -102,43 +112,34 @@ def classes(
     sizes = cut(members.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
     met = cut(members.join(sizes, "b").groupBy("t").agg(F.sum("n").alias("met")))
     texts = cut(texts_of(met.select("t")))
-    features = cut(features_of(texts))
-    rows = cut(members.join(met, "t").withColumn("label", F.col("t")))
+    rows = cut(members.join(met, "t"))
     forget(sizes, members)
-    links, label = None, None
-
-    def more(pairs: DataFrame) -> DataFrame:
-        """Labels once the distinct (a, b) have been compared too."""
-        nonlocal links
-        found = compared(pairs, texts, linked)
-        links = found if links is None else cut(links.unionByName(found))
-        return components(links)
-
-    def may_be(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct())
-        x, y = features.select(F.col("t").alias("a"), "x"), features.select(F.col("t").alias("b"), F.col("x").alias("y"))
-        out = cut(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(near(F.col("x"), F.col("y"))).select("a", "b"))
-        forget(pairs)
-        return out
-
-    for star in range(STARS):
-        outside = rows.where(F.col("indexed") & (F.col("label") != F.col("of_first")) if star else F.col("indexed"))
-        centres = cut(outside.groupBy("b").agg(F.max_by(F.struct("t", "label"), F.struct("met", "t")).alias("c")))
-        pairs = rows.join(centres, "b").where(F.col("label") != F.col("c.label")).select(F.col("c.t").alias("a"), F.col("t").alias("b"))
-        label = more(may_be(pairs))
-        now = rows.drop("label").join(label, "t", "left").withColumn("label", F.coalesce("label", "t"))
-        if not star:
-            now = now.join(centres.select("b", F.col("c.t").alias("c0")), "b", "left")
-        now = cut(now.drop("of_first"))
-        still = now.groupBy("b").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("t") == F.col("c0"), F.col("label"))).alias("of_first")
-        )
-        still = cut(still.where("low < high").select("b", "of_first"))
-        before, rows = rows, cut(now.join(still, "b"))
-        forget(before, now, still, centres)
-        if rows.isEmpty():
-            return label
-    full = cut(rows.select("b", "t", "label", "indexed", "of_first").join(features.hint("merge"), "t"))
+
+    def star(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The centres (b, c) and the links of all rows to them."""
+        centres = cut(rows.where("indexed").groupBy("b").agg(F.max_by("t", F.struct("met", "t")).alias("c")))
+        pairs = rows.join(centres, "b").where("t <> c").select(F.col("c").alias("a"), F.col("t").alias("b")).distinct()
+        return centres, compared(pairs, texts, linked)
+
+    first_centres, links = star(rows)
+    rest = rows.join(first_centres, "b").where("t <> c")
+    outside = cut(rest.join(links.select(F.col("a").alias("c"), F.col("b").alias("t")).hint("merge"), ["c", "t"], "left_anti").drop("c"))
+    second_centres, more = star(outside)
+    links = cut(links.unionByName(more))
+    label = components(links)
+    forget(outside, second_centres)
+    marked = cut(rows.join(label.hint("merge"), "t", "left").select("b", "t", "indexed", F.coalesce("label", "t").alias("label")))
+    still = marked.join(first_centres, "b").groupBy("b").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("t") == F.col("c"), F.col("label"))).alias("of_first")
+    )
+    still = cut(still.where("low < high").select("b", "of_first"))
+    open_ = cut(marked.join(still, "b"))
+    forget(rows, marked, first_centres, still)
+    if open_.isEmpty():
+        return label
+    left = open_.select("t").distinct()
+    features = cut(features_of(texts.join(left.hint("merge"), "t", "left_semi")))
+    full = cut(open_.join(features.hint("merge"), "t"))
     some = full.where("label != of_first").select("b", F.col("t").alias("t1"), F.col("label").alias("l1"), F.col("x").alias("x1"), F.col("indexed").alias("i1"))
     every = full.select(
         "b", F.col("t").alias("t2"), F.col("label").alias("l2"), F.col("x").alias("x2"), F.col("indexed").alias("i2"), (F.col("label") != F.col("of_first")).alias("both")
@@ -148,6 +149,6 @@ def classes(
     cross = some.join(every.hint("merge"), "b").where(
         (F.col("l1") != F.col("l2")) & (F.col("i1") | F.col("i2")) & once & near(F.col("x1"), F.col("x2")) & first(F.col("b"), F.col("x1"), F.col("x2"))
     )
-    pairs = cut(cross.select(F.greatest("t1", "t2").alias("a"), F.least("t1", "t2").alias("b")).distinct())
-    forget(full, rows)
-    return more(pairs)
+    found = compared(cross.select(F.greatest("t1", "t2").alias("a"), F.least("t1", "t2").alias("b")).distinct(), texts, linked)
+    forget(features, full, open_)
+    return label if found.isEmpty() else components(links.unionByName(found))

@@ -10,6 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What a batch of rows that goes to Python may hold, in place of Spark's default.
+BATCH_BYTES = 4_000_000
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A word: the longest run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,6 +66,19 @@ def forget(*tables: DataFrame) -> None:
     jvm.System.gc()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on gives Python rows in batches of BATCH_BYTES.
+
+    A task's Python process holds a batch several times over, as Arrow data and as
+    objects; of Spark's default, 64 MB, two processes beside an executor's heap fill
+    it.  Where the session says otherwise than that default, it stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BYTES, "67108864b") == "67108864b":
+        conf.set(_BYTES, str(BATCH_BYTES))
+    return df
+
+
 def text_of(column: str | Column) -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -51,7 +51,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 BROADCAST_BYTES = 16_000_000
 FAN, DEEPEST = 64, 150
@@ -645,7 +645,7 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, structure, pages and what its slots hold), a row for each host."""
-    own = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(_infer, _STRUCTURES)
+    own = small_batches(pages).select(host_of(F.col("url")).alias("host"), "html").mapInPandas(_infer, _STRUCTURES)
     out = cut(own.groupBy("host", "name").applyInPandas(_equal, _STRUCTURES))
     while True:
         n = out.groupBy("host").agg(F.count(F.lit(1)).alias("n"))

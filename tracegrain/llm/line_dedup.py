@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import cluster
-from .common import cut, forget
+from .common import cut, forget, small_batches
 
 MOST = 2
 #: How many line hashes a task remembers, 100 bytes each.
@@ -207,10 +207,12 @@ def parities(line: str) -> tuple[int, int]:
 
 def linked(centre: str, others: list[str]) -> list[bool]:
     """Whether the edits are as few as the longer line may have."""
-    out = []
+    out, (one, two) = [], parities(centre)
     for x in others:
         most = edits(max(len(centre), len(x)))
-        out.append(edit_distance(centre, x, most) <= most)
+        p, q = parities(x)
+        may_be = (one ^ p).bit_count() <= 2 * most and (two ^ q).bit_count() <= 4 * most
+        out.append(may_be and edit_distance(centre, x, most) <= most)
     return out
 
 
@@ -258,7 +260,7 @@ def members(docs: DataFrame) -> DataFrame:
 
 def line_classes(docs: DataFrame) -> DataFrame:
     """(t, label) of the distinct lines that have near duplicates."""
-    texts = docs.select("text").where("text is not null")
+    texts = small_batches(docs).select("text").where("text is not null")
 
     def lines(batches):
         for part in _distinct(batches):

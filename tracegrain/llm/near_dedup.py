@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import cluster
-from .common import cut, forget, fresh, out_of_the_way, word_hashes
+from .common import cut, forget, fresh, out_of_the_way, small_batches, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 48, 8
@@ -137,6 +137,9 @@ def sketch(dart: np.ndarray) -> np.ndarray:
     return np.packbits((dart >> np.uint64(7)).astype(np.uint8) & 1).view(np.int64)
 
 
+SIGNED = "t long, d long, bands array<long>, bits array<long>"
+
+
 def _sign(batches):
     for pdf in batches:
         out, bits = [], []
@@ -202,16 +205,15 @@ def named(docs: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """(t, d, first): for each distinct text its lowest doc_id, and the (d, t) of the document that its class keeps."""
-    rows = named(docs)
-    signed = cut(rows.mapInPandas(_sign, "t long, d long, bands array<long>, bits array<long>"))
+    rows = named(small_batches(docs))
+    signed = cut(rows.mapInPandas(_sign, SIGNED))
     bt = signed.select("t", F.posexplode("bands").alias("j", "band")).select("t", _bucket(F.col("j"), F.col("band")).alias("b"))
     shared = cut(bt.groupBy("b").agg(F.min("t").alias("c"), F.max("t").alias("m")).where("c < m").select("b"))
     members = bt.join(shared.hint("merge"), "b").distinct().withColumn("indexed", F.lit(True))
     owners = cut(signed.groupBy("t").agg(F.min("d").alias("d")))
 
-    def features_of(names: DataFrame) -> DataFrame:
-        own = names.select("t").join(owners.hint("merge"), "t")
-        return signed.join(own.hint("merge"), ["t", "d"]).select("t", "d", F.struct("bands", "bits").alias("x")).dropDuplicates(["t", "d"]).drop("d")
+    def features_of(texts: DataFrame) -> DataFrame:
+        return texts.withColumn("d", F.lit(0).cast("long")).mapInPandas(_sign, SIGNED).select("t", F.struct("bands", "bits").alias("x"))
 
     def texts_of(names: DataFrame) -> DataFrame:
         own = names.join(owners.hint("merge"), "t")

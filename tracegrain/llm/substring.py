@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, word_hashes, words
+from .common import cut, forget, small_batches, word_hashes, words
 
 WINDOW, SEED = 35, 9
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -170,7 +170,7 @@ def _twice(rows: DataFrame, *by: str) -> DataFrame:
 
 def marks(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(k1, k2, runs): for each text with repeated windows, the first window and the bits of the choices that have some."""
-    texts = _texts(docs)
+    texts = _texts(small_batches(docs))
     rows = cut(texts.select("k1", "k2", "text").mapInPandas(_choose(window, seed), _CHOICES))
     again = _twice(rows.select("h9"), "h9")
     level1 = cut(rows.join(again.hint("merge"), "h9", "left_semi"))

@@ -11,12 +11,16 @@ Learning uses a bounded sample: of the labelled documents whose crc32(doc_id)
 mod 5 is not 0, the ``max_docs`` with the lowest hash of the id.  Executors
 count in how many toxic and clean documents of the sample each feature occurs;
 the ``MAX_FEATURES`` that are most surely more frequent in toxic ones are
-fitted, on the driver, on their occurrences alone (``MAX_HITS`` at most).
-Scores are computed for whole texts of all rows.
+fitted, on the driver, on their occurrences alone (``MAX_HITS`` at most, those of
+the documents of lowest hash, wherever they lie).
+Scores are computed for whole texts of all rows.  An automaton finds the words
+that hold a feature in one pass over the text, so nothing is kept between texts.
 
 Edge cases: null and empty texts are one sentence without words; several labels
 of one document count as toxic if one is; null labels are none; without a toxic
-and a clean label every score is 0; repeated rows get equal scores.
+and a clean label every score is 0; repeated rows get equal scores; of sentences
+that tie for the worst the first is named; an empty table gives no rows.  Extra
+columns stay; those named like a result get _in appended.
 """
 
 from __future__ import annotations
@@ -25,12 +29,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh, out_of_the_way, small_batches
 
 #: Bounds of what is learnt from: documents; features; occurrences of features.
 MAX_DOCS, MAX_FEATURES, MAX_HITS = 12_000, 4096, 4_000_000
@@ -61,7 +66,7 @@ def _count(batches):
             for w in set(_TOKEN.findall(text.lower())):
                 f = memo.get(w)
                 if f is None:
-                    if len(memo) > 100_000:
+                    if len(memo) > 20_000:
                         memo.clear()
                     f = memo[w] = features(w)
                 seen.update(f)
@@ -72,26 +77,26 @@ def _count(batches):
 
 
 def _encode(chosen: dict[str, int]):
-    """(label, text) to (label, features of words, their sentences, number of sentences)."""
+    """(label, text, h) to (label, features of words, their sentences, number of sentences, h)."""
 
     def f(batches):
         memo: dict[str, list[int]] = {}
         for pdf in batches:
             rows = []
-            for label, text in zip(pdf["label"], pdf["text"], strict=True):
+            for label, text, h in zip(pdf["label"], pdf["text"], pdf["h"], strict=True):
                 ids, at = [], []
                 every = sentences(text)
                 for i, s in enumerate(every):
                     for w in set(_TOKEN.findall(s.lower())):
                         own = memo.get(w)
                         if own is None:
-                            if len(memo) > 500_000:
+                            if len(memo) > 100_000:
                                 memo.clear()
                             own = memo[w] = sorted({chosen[x] for x in features(w) if x in chosen})
                         ids += own
                         at += [i] * len(own)
-                rows.append((int(label), np.array(ids, np.int32).tobytes(), np.array(at, np.int32).tobytes(), len(every)))
-            yield pd.DataFrame(rows, columns=["label", "ids", "at", "n"])
+                rows.append((int(label), np.array(ids, np.int32).tobytes(), np.array(at, np.int32).tobytes(), len(every), h))
+            yield pd.DataFrame(rows, columns=["label", "ids", "at", "n", "h"])
 
     return f
 
@@ -132,6 +137,7 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[dict[str, float], float]:
     """(weights by feature, bias) from the bounded sample of the labelled rows."""
+    small_batches(docs)
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     sample = (
         known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
@@ -152,53 +158,61 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple
     if not chosen:
         return {}, -40.0
     got, hits = [], 0
-    encoded = rows.select("label", "text").mapInPandas(_encode(chosen), "label int, ids binary, at binary, n int")
-    for r in encoded.toLocalIterator():
+    sampled = rows.select("label", "text", F.xxhash64("doc_id", F.lit(7)).alias("h"))
+    encoded = sampled.mapInPandas(_encode(chosen), "label int, ids binary, at binary, n int, h long")
+    for r in encoded.orderBy("h", "label", "n", "ids").toLocalIterator():
         hits += len(r["ids"]) // 4
         if hits > MAX_HITS:
             break
         got.append((r["label"], bytes(r["ids"]), bytes(r["at"]), r["n"]))
-    got.sort()
     v, b = _fit(got, len(chosen))
     return {f: float(v[i]) for f, i in chosen.items() if v[i] > 0}, b
 
 
+def heavy_words(text: str, automaton, weights: dict[str, float]) -> dict[str, float]:
+    """The words of the lower-case ``text`` that hold a feature, and their weights."""
+    marked = "^" + "$^".join(_TOKEN.findall(text)) + "$"
+    out: dict[str, float] = {}
+    for end, n in automaton.iter(marked):
+        word = marked[marked.rfind("^", 0, end - n + 2) + 1 : marked.find("$", end)]
+        if word not in out:
+            out[word] = weight_of(word, weights)
+    return out
+
+
 def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
     """``docs`` with score, predicted, worst (index of the worst sentence) and offending (those of 0.5 or more)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES numbers
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES numbers
 
     @F.pandas_udf("struct<score:double,worst:int,offending:array<int>>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         weights, bias = shared.value
-        known: set[str] = set()
-        heavy: dict[str, float] = {}
+        automaton = ahocorasick.Automaton()
+        for f in weights:
+            automaton.add_word(f, len(f))
+        automaton.make_automaton()
         none = np.empty(0, np.int32)
         for texts in batches:
             rows = []
             for text in texts:
-                own = set(_TOKEN.findall(text.lower()))
-                if len(known) > 1_000_000:
-                    known, heavy = set(), {}
-                for word in own - known:
-                    known.add(word)
-                    v = weight_of(word, weights)
-                    if v:
-                        heavy[word] = v
                 every = sentences(text)
                 p = np.full(len(every), 1 / (1 + np.exp(-bias)))
-                if not own.isdisjoint(heavy):
-                    zs = [bias + sum(heavy.get(w, 0.0) for w in sorted(set(_TOKEN.findall(s.lower())))) for s in every]
+                heavy = heavy_words(text.lower(), automaton, weights) if weights else {}
+                if heavy:
+                    zs = [bias + sum(heavy[w] for w in sorted(heavy.keys() & set(_TOKEN.findall(s.lower())))) for s in every]
                     p = 1 / (1 + np.exp(-np.clip(zs, -30, 30)))
                 whole = float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
                 rows.append((whole, int(p.argmax()), np.flatnonzero(p >= 0.5).astype(np.int32) if whole >= 0.5 else none))
             yield pd.DataFrame(rows, columns=["score", "worst", "offending"])
 
-    tox = scored(F.coalesce("text", F.lit("")))
-    return docs.withColumn("__x", tox).withColumns({
-        "score": F.col("__x.score"), "predicted": (F.col("__x.score") >= 0.5).cast("int"),
-        "worst": F.col("__x.worst"), "offending": F.col("__x.offending"),
-    }).drop("__x")
+    x = fresh("x")
+    names = ["score", "predicted", "worst", "offending"]
+    return out_of_the_way(docs, *names).withColumn(x, scored(F.coalesce("text", F.lit("")))).withColumns({
+        "score": F.col(f"{x}.score"), "predicted": (F.col(f"{x}.score") >= 0.5).cast("int"),
+        "worst": F.col(f"{x}.worst"), "offending": F.col(f"{x}.offending"),
+    }).drop(x)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    return score(docs, train(docs, labels, max_docs)).withColumn("held_out", held_out(F.col("doc_id")))
+    """score() and held_out, whether the row was kept from learning."""
+    return score(out_of_the_way(docs, "held_out"), train(docs, labels, max_docs)).withColumn("held_out", held_out(F.col("doc_id")))
