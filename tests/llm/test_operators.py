@@ -285,7 +285,7 @@ def test_op2_finds_the_article(spark):
 
 
 def test_op2_keeps_what_few_pages_hold(spark):
-    """Pages of div elements only: rare headings, items and inline runs stay, what all pages hold goes."""
+    """Pages of div elements only: rare headings, items and inline runs stay, what all pages hold in a class of its own goes."""
     rows, want = [], {}
     for i in range(24):
         parts = [(f"Story {i}", f"<h1>Story {i}</h1>"), ("", "<p class='tool'>Print this page</p>"), (f"Words of page {i} come first.", f"<p>Words of page {i} come first.</p>")]
@@ -310,6 +310,88 @@ def test_op2_keeps_what_few_pages_hold(spark):
     assert all(r["text"] == f"{'long text ' * 9}{r['page_id']}" for r in got)
 
 
+def test_op2_the_wrapper_decides(spark):
+    """Hosts without article elements: what varies is the article, however long a constant is; names alone decide nothing."""
+    side = "The same long words about this site stand on each of its pages. " * 30
+    rows = [
+        (i, "http://plain.example/", f"<body><div class='left'><p>{side}</p></div><div class='right'><h2>Head {i}</h2><p>Always the same short opening.</p><p>What page {i} says.</p></div></body>")
+        for i in range(9)
+    ]
+    history = "<article><div class='article-header'><h1>T</h1></div><p>Text</p><div class='social-history'><p>History kept?</p></div></article>"
+    rows += [(100, "http://one.example/", history), (101, "http://copies.example/", rows[0][2]), (102, "http://copies.example/", rows[0][2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Head {i}\nAlways the same short opening.\nWhat page {i} says." for i in range(9)} | {100: "T\nText\nHistory kept?"}
+    found = []
+    for n in (1, 4, 9):
+        got = {r["page_id"]: r["text"] for r in html_wrapper.main_texts(df.repartition(n)).collect()}
+        assert {k: got[k] for k in want} == want
+        found.append(got)
+    assert found[0] == found[1] == found[2] and "What page 0 says." in found[0][101]
+    assert html_wrapper.extract(rows[0][2], None) != want[0]  # alone, a page doesn't show what is constant
+
+
+def test_op2_alignment_is_brute_force():
+    import random
+
+    def longest(x, y):
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    rng = random.Random(5)
+    for _ in range(300):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(2))
+        got = html_wrapper.aligned(x, y)
+        assert len(got) == longest(x, y) and all(x[i] == y[j] for i, j in got)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+    x = [f"n{i}" for i in range(30_000)]
+    y = [v for i, v in enumerate(x) if i % 3] + ["z"]
+    assert len(html_wrapper.aligned(x, y)) == 20_000
+    assert html_wrapper.aligned([f"a{i}" for i in range(20_000)], [f"b{i}" for i in range(20_000)]) == []
+
+
+def test_op2_very_long_pages(spark):
+    page = "<body><article>" + "".join(f"<div class='c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}'><p>text {{k}} {i}</p></div>" for i in range(20_000)) + "<div>" * 400 + "deep" + "</article></body>"
+    rows = [(k, "http://long.example/", page.replace("{k}", str(k))) for k in range(3)]
+    got = html_wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == "\n".join([f"text {r['page_id']} {i}" for i in range(20_000)] + ["deep"]) for r in got) and len(got) == 3
+
+
+def test_op5_in_several_blocks(spark, docs, monkeypatch):
+    df, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    key = lambda out: sorted((r["doc_id"], r["item_id"], r["n_shared"]) for r in out.collect())
+    whole, left = key(decontam.contained(df, items)), sorted(r[0] for r in decontam.decontaminate(df, items).select("doc_id").collect())
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 4000)
+    assert key(decontam.contained(df, items)) == whole and whole
+    assert sorted(r[0] for r in decontam.decontaminate(df, items).select("doc_id").collect()) == left
+
+
+def test_clashing_columns_stay(spark):
+    names = "t c d s n o x more h score predicted worst offending class_id kept shard slot position caption digest feature held_out __t __c __x __d __h __n __r __p __k __o __part".split()
+    df = spark.createDataFrame([(1, "one two three", "a"), (2, "one two three", None), (3, "four", "a")], "doc_id long, text string, source string")
+    df = df.withColumns({n: F.lit(f"own {n}") for n in names})
+
+    def own(out):
+        rows = out.collect()
+        assert rows
+        for r in rows:
+            d = r.asDict()
+            assert all(d.get(n + "_in", d.get(n)) == f"own {n}" for n in names), d
+        return rows
+
+    assert {r["class_id"] for r in own(near_dedup.near_duplicates(df))} == {1, 3}
+    assert all(isinstance(r["score"], float) for r in own(toxicity.toxicity(df, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))))
+    assert sorted(r["shard"] for r in own(sharding.shard_rows(sharding.keyed(df), 2)))[0] == 0
+    assert own(mixing.mixed_documents(df))
+    assert len(own(decontam.decontaminate(df, spark.createDataFrame([(1, "four")], "item_id long, text string")))) == 2
+    pages = df.withColumn("sequence", media.parse_sequence(F.lit("<img src=aa><figcaption>c</figcaption>")))
+    rows = own(media.resolve(pages, "sequence", media.media_table(media.stored_media(df))))
+    assert len(rows) == 3 and rows[0]["caption"] == "c"
+    assert mixing.mix(df)[0].count() == line_dedup.line_rows(df).count() == substring.dedup_substrings(df).count() == 3
+
+
 def test_empty_tables_give_no_rows(spark, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     assert substring.dedup_substrings(empty).count() == 0

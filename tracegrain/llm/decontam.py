@@ -15,9 +15,10 @@ the item's distinct shingles that occur anywhere in the document, comparing word
 Words are lower-case runs of word characters.  An item of fewer than five words
 is one shingle of all its words.
 
-Scale: one pass over the documents and no shuffle.  Items are read by every
-task, in blocks of ``BLOCK_BYTES`` of text at most; a larger benchmark takes
-another pass for each block.
+Scale: one pass over the documents and no shuffle.  Items are broadcast in blocks
+of ``BLOCK_BYTES`` of text (or one item) at most, one block at a time, so neither
+the driver nor a task ever holds more of them; a larger benchmark takes another
+pass over the documents for each block, whose result is written as a table.
 
 Edge cases: null and empty texts contain nothing and null or wordless items are
 contained nowhere; repeated rows give repeated results; no items or documents
@@ -27,6 +28,7 @@ give no rows; extra columns are kept by decontaminate() and don't clash.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -34,6 +36,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, small_batches
+
 SHINGLE, THRESHOLD, HASHES = 5, 0.8, 48
 BLOCK_BYTES = 8_000_000
 _TOKEN = re.compile(r"\w+")
@@ -160,12 +164,12 @@ def _blocks(items: list[tuple[int, str]]):
         yield block
 
 
-def _search(block: list[tuple[int, str]]):
+def _search(shared):
     def f(batches):
-        items = Items(block)
+        items = Items(shared.value)
         for pdf in batches:
             rows = [
-                (doc, block[k][0], common, n, common / n)
+                (doc, items.ids[k], common, n, common / n)
                 for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True) if text
                 for k, common, n in items.search(text)
             ]
@@ -177,32 +181,38 @@ def _search(block: list[tuple[int, str]]):
 
 def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles, containment) of every pair at or above the threshold."""
-    rows = ((r[0], r[1]) for r in items.select(item_id, "text").toLocalIterator())
     light = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("text"))
     schema = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
-    found = [light.mapInPandas(_search(block), schema) for block in _blocks(rows)]
+    found = [out for _, out in _passes(light, items.select(item_id, "text"), lambda rows, shared: rows.mapInPandas(_search(shared), schema))]
     return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that contain no item, with their columns."""
-
-    def clean(block):
-        def f(texts: pd.Series) -> pd.Series:
-            items = _memo(block)
-            return pd.Series([not (t and items.search(t)) for t in texts], dtype=bool)
+def _passes(docs: DataFrame, items: DataFrame, step):
+    """(block, step(docs, block)) for each block, which is written as a table if it isn't the only one."""
+    context = small_batches(docs).sparkSession.sparkContext
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    for block in _blocks((r[0], r[1]) for r in items.toLocalIterator()):
+        shared = context.broadcast(block)
+        out = step(docs, shared)
+        if size > BLOCK_BYTES:
+            out = cut(out)
+            shared.unpersist()
+        yield shared, out
 
-        return F.pandas_udf(f, "boolean")
-
-    for block in _blocks((r[0], r[1]) for r in items.select("item_id", "text").toLocalIterator()):
-        docs = docs.where(clean(block)(F.coalesce("text", F.lit(""))))
-    return docs
 
+def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents that contain no item, with their columns."""
 
-_LAST: list = [None, None]
+    def keep(rows: DataFrame, shared) -> DataFrame:
+        @F.pandas_udf("boolean")
+        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            items = Items(shared.value)
+            for texts in batches:
+                yield pd.Series([not (t and items.search(t)) for t in texts], dtype=bool)
 
+        return rows.where(clean(F.coalesce("text", F.lit(""))))
 
-def _memo(block: list[tuple[int, str]]) -> Items:
-    if _LAST[0] != block:
-        _LAST[:] = [block, Items(block)]
-    return _LAST[1]
+    left = [docs]  # what earlier passes have kept
+    for _, out in _passes(docs, items.select("item_id", "text"), lambda _, shared: keep(left[0], shared)):
+        left[0] = out
+    return left[0]

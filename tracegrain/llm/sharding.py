@@ -11,13 +11,15 @@ Rows then go through one exchange, to the window that numbers them.
 Law ``bytes``: shards differ from the mean by at most the tolerance plus one
 row, or plus one set of rows that agree in text and id, which stay together.
 
-Slots are gapless from 0 in key order.  A task of the window holds one of 4,096
-ranges of the text hash; a range with more than twice its share of rows (copies)
-is divided by the id's hash.  Offsets of ranges are sums over at most about
-12,000 counts, which is what the broadcast join holds.
-
-Edge cases: a null text has no bytes and size 1; equal rows get slots next to
-each other; an empty table gives no rows; extra columns stay.
+Slots are gapless from 0 in key order.  A task of the window holds one of 4,096 or
+more ranges of the text hash (see RANGE_BYTES); a range with more than twice its
+share of rows (copies) is divided by the id's hash.  Offsets of ranges are sums
+over at most about three times as many counts, 2**MOST_BITS ranges being the most,
+and that is what the broadcast join holds.
+
+Edge cases: a null text has no bytes and size 1; null ids are one id; equal rows
+get slots next to each other; an empty table gives no rows; extra columns stay,
+those named shard, slot or like the key columns with _in appended.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, out_of_the_way
 
 LOW, HIGH = -(2**63), 2**63
 #: Bits of the text hash that name a range of the final numbering.
 RANGE_BITS = 12
+#: A range holds about so many bytes of texts, unless that takes more than so many bits.
+RANGE_BYTES, MOST_BITS = 32_000_000, 18
 
 
 def size_of(text: Column) -> Column:
@@ -40,7 +44,7 @@ def size_of(text: Column) -> Column:
 def keyed(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``df`` with __h, __t (the key) and __n (the size)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumns({
+    return out_of_the_way(df, "__h", "__t", "__n").withColumns({
         "__h": F.xxhash64(body),
         "__t": F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(6)),
         "__n": size_of(F.col(text)),
@@ -128,11 +132,14 @@ def shard_rows(df: DataFrame, n: int = 8, tolerance: float = 0.001, keys: DataFr
 
     ``keys``: the same keys from a cheaper table, if there is one.
     """
+    df = out_of_the_way(df, "shard", "slot", "__r", "__p", "__k", "__o")
     keys = cut(df.select("__h", "__t", "__n")) if keys is None else keys
     edges = splitters(keys, n, tolerance)
-    prefix = F.shiftright("__h", 64 - RANGE_BITS).cast("int")
-    counts = keys.groupBy(prefix.alias("r")).count().collect()  # 4,096 rows at most
-    mean = sum(r["count"] for r in counts) / 2**RANGE_BITS
+    total = keys.agg(F.sum("__n")).first()[0] or 0
+    ranges = min(max(RANGE_BITS, (total // RANGE_BYTES).bit_length()), MOST_BITS)
+    prefix = F.shiftright("__h", 64 - ranges).cast("int")
+    counts = keys.groupBy(prefix.alias("r")).count().collect()  # 2**MOST_BITS rows at most
+    mean = sum(r["count"] for r in counts) / 2**ranges
     bits = {r["r"]: (int(r["count"] / max(mean, 100)) + 1).bit_length() for r in counts if r["count"] > 2 * max(mean, 100)}
     part = F.lit(0).cast("long")
     if bits:
