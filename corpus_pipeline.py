@@ -7,13 +7,13 @@ kept.  run() writes every stage as Parquet to the folder in
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrain.llm import decontam, mixing, near_dedup, sharding, toxicity
+from tracegrain.llm.common import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,7 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents with a toxicity score of 0.5 or more go.
 
     The weights are fitted on the labels of the documents at hand.  Null and
-    empty texts stay; without usable labels every document stays.
+    empty texts stay; without usable labels every document stays; repeated rows
+    have equal scores.
     """
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.train(docs.select("doc_id", "text"), labels)
@@ -45,7 +46,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents that hold 0.8 or more of a test item's shingles go."""
+    """Operator 5: documents that hold 0.8 or more of a test item's shingles go.
+
+    Null and empty texts hold none and stay, as all do where there are no items;
+    rows that repeat one another stay or go together; so do ties at exactly 0.8,
+    which go.
+    """
     return decontam.decontaminate(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
@@ -54,13 +60,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The mix takes blocks of words, and so parts of some documents; their parts
     are carried along each source and come out as whole texts.  A source's words
-    differ from its target by about one document.  Documents without words stay once.
+    differ from its target by about one document.  Documents without words, null
+    texts among them, stay once.  The null source is a source.  Rows alike in id,
+    source and text share their number of copies evenly, one taking what remains;
+    documents that tie in size and hash are taken by id.
     """
     return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: eight shards of near equal bytes; adds shard and slot."""
+    """Operator 6: eight shards of near equal bytes; adds shard and slot.
+
+    A null text counts one byte; repeated rows get slots next to each other; texts
+    that tie in their hash are told apart by id.  All rows stay.
+    """
     return sharding.shard_rows(sharding.keyed(docs.select(*COLUMNS)), 8)
 
 
@@ -72,14 +85,14 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: SQL expresses none of the stages; tests hold them against brute force.
+#: SQL expresses none of the stages; tests/llm hold the operators against brute force,
+#: and the stages against what those give for their input.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``: its columns, shard and slot."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = _table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
