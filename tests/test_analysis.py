@@ -107,3 +107,12 @@ def test_suppression_partitions_findings(spark):
     fields = {"file": "path", "cwe": "cwe"}
     assert [r["path"] for r in findings.suppressed(f, rules, fields, True).collect()] == ["d/b.py"]
     assert [r["path"] for r in findings.suppressed(f, rules, fields, False).collect()] == ["d/a.py"]
+
+
+def test_joins_and_the_parse_stage_resolve_names_alike(spark):
+    names = sorted({n for _, n, _, _ in R.sink_aliases()} | set(R.SAFE))
+    cases = [(p + n, m) for n in names for p, m in (("", ""), ("x.y.", ""), ("", "pickle"), ("", "django"), ("", "subprocess"))]
+    dims = R.dims(spark)
+    df = spark.createDataFrame(cases, "name string, module string").selectExpr("name", "array(module) AS modules")
+    got = {(r["name"], r["modules"][0]): r["sink"] for r in callgraph.resolve_sinks(df, dims["alias"], dims["safe"], modules="modules").collect()}
+    assert got == {(n, m): R.sink_of(n, frozenset([m])) for n, m in cases}

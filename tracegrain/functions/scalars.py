@@ -104,6 +104,29 @@ def clipped(text: Column, n: int = 80) -> Column:
     return F.when(F.length(flat) > n, F.concat(F.substring(flat, 1, n - 1), F.lit("…"))).otherwise(flat)
 
 
+def slashes(path: Column, root: str = "") -> Column:
+    """A path with forward separators, relative to ``root`` if it is below it."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    base = root.replace("\\", "/").rstrip("/") + "/"
+    return F.when(p.startswith(base), F.substr(p, F.lit(len(base) + 1))).otherwise(p) if root else p
+
+
+def iso_date(moment: Column) -> Column:
+    """A UTC stamp to the second."""
+    return F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def hint_tokens(function: Column, params: Column, calls: Column) -> Column:
+    """nh_def, nh_arg and nh_call tokens: the hints that names hold, advisory only."""
+    hints = [h for _, h in R.NAME_HINTS]
+
+    def of(prefix: str, names: Column) -> Column:
+        found = F.flatten(F.transform(names, lambda n: F.filter(F.array(*[F.lit(h) for h in dict.fromkeys(hints)]), lambda h: F.contains(name_hint(n), h))))
+        return F.transform(F.array_distinct(found), lambda h: F.concat(F.lit(f"nh_{prefix}:"), h))
+
+    return F.concat(of("def", F.array(function)), of("arg", params), of("call", calls))
+
+
 def name_hint(name: Column) -> Column:
     for pattern, hint in R.NAME_HINTS:
         name = F.regexp_replace(name, pattern, hint)

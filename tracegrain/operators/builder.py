@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracegrain.operators import findings, parse
 from tracegrain.operators.parse import dotted
 from tracegrain.plans import registry as R
 
@@ -167,3 +168,29 @@ def statistics(records: DataFrame, accepted: str, reason: str, sets: list[str])
     rows = records.withColumn(reason, F.when(~F.col(accepted), F.col(reason)))
     g = rows.groupingSets([[F.col(c)] for c in [reason, *sets]] + [[]], reason, *sets)
     return g.agg(F.count(F.when(F.col(accepted), 1)).alias("accepted"), F.count(F.when(~F.col(accepted), 1)).alias("rejected"))
+
+
+def evidence(pairs: DataFrame) -> DataFrame:
+    """(pair_id, tier) of (pair_id, cwe, snippet, module): direct-sink or module-proximity; a pair with neither has no row.
+
+    direct-sink: the snippet passes something that is no constant, at a place that
+    matters, to a sink of the class, or marks it as safe.  module-proximity: a
+    function of the snippet returns something, and its module does so.
+    """
+    text = F.explode(F.array(F.struct(F.lit("s").alias("side"), F.col("snippet").alias("source")), F.struct(F.lit("m").alias("side"), F.col("module").alias("source"))))
+    files = pairs.select(F.col("pair_id").cast("string").alias("id"), text.alias("t")).where("t.source is not null")
+    scopes = parse.parse(files.select(F.concat_ws("|", "t.side", "id").alias("path"), "t.source")).where("error is null")
+    hits = scopes.select("path", F.explode("hits").alias("h")).select("path", "h.*").where("not constant")
+    amp = hits.where("amplifier").select("path", F.lit("CWE-79").alias("cwe"))
+    own = findings.dangerous(hits.where("not amplifier"), R.dims(pairs.sparkSession)["sink"]).where("danger").select("path", "cwe")
+    touched = own.unionByName(amp).distinct()
+    gives = scopes.where("scope > 0 and n_returns > 0").select("path").distinct().withColumn("cwe", F.lit("returns"))
+    side = lambda df: df.select(F.substring("path", 1, 1).alias("side"), F.substr("path", F.lit(3)).alias("id"), "cwe")
+    known = side(touched.unionByName(gives))
+    wanted = pairs.select("pair_id", F.col("pair_id").cast("string").alias("id"), F.col("cwe").alias("want"))
+    m = wanted.join(known, "id").groupBy("pair_id").agg(
+        F.max((F.col("side") == "s") & (F.col("cwe") == F.col("want"))).alias("direct"), F.max((F.col("side") == "m") & (F.col("cwe") == F.col("want"))).alias("near"),
+        F.max((F.col("side") == "s") & (F.col("cwe") == "returns")).alias("gives"),
+    )
+    tier = F.when(F.col("direct"), "direct-sink").when(F.col("near") & F.col("gives"), "module-proximity")
+    return m.select("pair_id", tier.alias("tier")).where("tier is not null")

@@ -15,11 +15,24 @@ from tracegrain.functions import scalars as S
 from tracegrain.operators.tables import Rounds, cut
 
 
-def resolve_sinks(calls: DataFrame, aliases: DataFrame, safe: DataFrame, name: str = "name") -> DataFrame:
+def resolve_sinks(calls: DataFrame, aliases: DataFrame, safe: DataFrame, name: str = "name", modules: str | None = None) -> DataFrame:
     """``calls`` with sink: the alias of the best tier, the longest suffix among equals; safe names have none.
 
     Distinct names are resolved once: their suffixes meet the aliases by equality.
+    ``modules`` names a column with the modules (whole, first and last part) that a
+    bare name was imported from, which is the second of three tiers.
     """
+    if modules is not None:
+        plain = resolve_sinks(calls, aliases, safe, name)
+        known = calls.select(name, modules).distinct()
+        low = F.broadcast(aliases.where("tier = 2").select(F.col("name").alias("__n"), F.col("modules").alias("__m"), F.col("sink").alias("__s")))
+        bound = known.join(low, F.col(name) == F.col("__n")).where(F.arrays_overlap(modules, "__m")).groupBy(name, modules).agg(F.min("__s").alias("__s"))
+        exact = F.broadcast(aliases.where("tier = 1").select(F.col("name").alias(name)).distinct().withColumn("__exact", F.lit(True)))
+        vetoed = F.broadcast(safe.select(F.col("name").alias(name)).distinct().withColumn("__safe", F.lit(True)))
+        out = plain.join(bound, [name, modules], "left").join(exact, name, "left").join(vetoed, name, "left")
+        # the name is bare, so only its own alias or veto comes before the binding
+        sink = F.when(F.col("__safe"), None).when(F.col("__exact"), F.col("sink")).otherwise(F.coalesce("__s", "sink"))
+        return out.withColumn("sink", sink).drop("__s", "__exact", "__safe")
     names = calls.select(F.col(name).alias("call")).distinct()
     tails = names.select("call", F.posexplode(S.dotted_suffixes(F.col("call"))).alias("at", "tail"))
     vetoed = tails.join(F.broadcast(safe.select(F.col("name").alias("tail"))), "tail", "left_semi").select("call").distinct()

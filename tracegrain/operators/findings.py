@@ -108,6 +108,33 @@ def contained(traces: DataFrame, scopes: DataFrame) -> DataFrame:
     return traces.join(first, ["path", "scope", "trace_id", "sink_line"], "left")
 
 
+def certificates(traces: DataFrame, cross: DataFrame) -> DataFrame:
+    """(kind, trace_id, cwe, path, function, sink, sink_line): flows inside functions and across them; those across are the last function's."""
+    own = traces.where(F.size("origins") > 0).select(F.lit("intra").alias("kind"), "trace_id", "cwe", S.slashes(F.col("path")).alias("path"), "function", "sink", "sink_line")
+    over = cross.select(
+        F.lit("cross").alias("kind"), "trace_id", "cwe", S.slashes(F.col("sink_file")).alias("path"), F.element_at("chain", -1).alias("function"), "sink", "sink_line"
+    )
+    return own.unionByName(over)
+
+
+def call_keys(found: DataFrame) -> DataFrame:
+    """(path, classes, calls): the classes of each file, and its sink calls as call@line, for comparison with other tools."""
+    key = F.concat_ws("@", "sink_call", F.col("lineno").cast("string"))
+    return found.groupBy("path").agg(F.sort_array(F.collect_set("cwe")).alias("classes"), F.sort_array(F.collect_set(F.when(F.col("sink_call") != "", key))).alias("calls"))
+
+
+def with_keys(traces: DataFrame) -> DataFrame:
+    """``traces`` with location, the key of a place, and summary, a line for readers."""
+    place = F.concat_ws(":", "path", "function", "sink", F.col("sink_line").cast("string"))
+    line = F.format_string("%s %s -> %s in %s at line %d (%.2f)", "cwe", F.array_join("origins", ", "), "sink_call", "function", "sink_line", "confidence")
+    return traces.withColumns({"location": place, "summary": line})
+
+
+def in_order(traces: DataFrame) -> DataFrame:
+    """By file, function, sink and identity."""
+    return traces.orderBy("path", "lineno", "sink_line", "sink", "trace_id")
+
+
 def pattern_findings(scopes: DataFrame, traces: DataFrame) -> DataFrame:
     """A finding for each category that a function touches without a confirmed flow."""
     dims = R.dims(scopes.sparkSession)

@@ -29,7 +29,7 @@ from tracegrain.plans import registry as R
 STEP = "struct<line:int,column:int,kind:string,edge:string,detail:string>"
 HIT = (
     "struct<sink:string,call:string,line:int,position:int,keyword:string,splat:boolean,origins:array<string>,neutralised:array<string>,"
-    f"partial:array<string>,steps:array<{STEP}>,kills:array<string>,guard:string,structural:boolean,amplifier:boolean>"
+    f"partial:array<string>,steps:array<{STEP}>,kills:array<string>,guard:string,structural:boolean,amplifier:boolean,constant:boolean>"
 )
 SCHEMA = (
     "path string, error string, imports array<string>, scope int, function string, qualname string, lineno int, end_lineno int, params array<string>, "
@@ -423,7 +423,7 @@ class Interpreter(ast.NodeVisitor):
             steps = [*v.path, (e.lineno, e.col_offset, "sink", "sink", name)] if v.origins else []
             self.scope.hits.append((
                 sink, name, e.lineno, i, k, star, _ordered(v), sorted(v.neutralised), sorted(v.partial), steps, list(v.kills),
-                next((edge for _, _, kind, edge, _ in reversed(steps) if kind == "guard" and not edge.startswith("weak_")), None), structural, amplifier,
+                next((edge for _, _, kind, edge, _ in reversed(steps) if kind == "guard" and not edge.startswith("weak_")), None), structural, amplifier, v.constant,
             ))
 
 
@@ -629,7 +629,7 @@ def _parse(batches):
     ).split()
     step = ("line", "column", "kind", "edge", "detail")
     hit = (
-        "sink call line position keyword splat origins neutralised partial steps kills guard structural amplifier".split()
+        "sink call line position keyword splat origins neutralised partial steps kills guard structural amplifier constant".split()
     )
 
     def struct(keys, x):

@@ -142,9 +142,24 @@ def patch_repair_loop(spark, sf):
     return patching.repair(s).select("path", (F.col("applied") > 0).alias("applied"))
 
 
-@query()
+_CATEGORY = """CASE cwe WHEN 'CWE-89' THEN 'sql' WHEN 'CWE-79' THEN 'xss' WHEN 'CWE-94' THEN 'exec' WHEN 'CWE-22' THEN 'file' WHEN 'CWE-502' THEN 'deser'
+    WHEN 'CWE-918' THEN 'net' WHEN 'CWE-601' THEN 'redirect' WHEN 'CWE-327' THEN 'crypto' END"""
+
+
+@query(f"""SELECT 'p' || p_partkey || '.py' AS path, CAST(coalesce(detector <> 'pattern', false) AS DOUBLE) AS flow_count, CASE WHEN detector <> 'pattern' THEN {_CATEGORY} ELSE '' END AS tainted,
+    CASE WHEN detector = 'amplifier' OR e.i IS NULL THEN '' ELSE {_CATEGORY} END AS scat, CASE WHEN origin <> '' AND e.i <> 0 THEN lower(origin) WHEN e.i = 0 THEN 'request' ELSE '' END AS origins,
+    CAST(coalesce(e.i = 11, false) AS DOUBLE) AS has_amplifier, CAST(p_partkey % {N} IN (13, 19) AS DOUBLE) AS parse_error, CAST(coalesce(e.i = 39, false) AS DOUBLE) AS sink_at_splat
+  FROM part LEFT JOIN {snippets.expected_sql()} ON p_partkey % {N} = i""")
 def feature_vector(spark, sf):
-    return features.extract(_scopes(spark, sf))
+    """All 88 features of all scopes, by file: those that are counts or flags of flows, and the names of those that are set."""
+    f = features.extract(_scopes(spark, sf))
+    names = features.names()
+    own = f.groupBy("path").agg(*[F.max(c).alias(c) for c in names])
+
+    def those(prefix: str):
+        return F.array_join(F.array_compact(F.array(*[F.when(F.col(c) > 0, c.removeprefix(prefix)) for c in names if c.startswith(prefix) and c != "tainted_sink_count"])), ",")
+
+    return own.select("path", "flow_count", those("tainted_").alias("tainted"), those("scat_").alias("scat"), those("origin_").alias("origins"), "has_amplifier", "parse_error", "sink_at_splat")
 
 
 @query(f"""SELECT sum(CAST(detector = 'taint' AS INT) + CAST(detector = 'amplifier' AS INT))::DOUBLE AS flows, count(*) FILTER (cwe = 'CWE-89')::DOUBLE AS scat_sql,
@@ -220,6 +235,79 @@ def sink_resolution_tiers(spark, sf):
     return callgraph.resolve_sinks(table(spark, sf, "part").select("p_partkey", name.alias("name")), dims["alias"], dims["safe"]).select("p_partkey", "name", "sink")
 
 
+BOUND = [
+    ("loads", "pickle", "DESER_UNSAFE"), ("loads", "json", None), ("run", "subprocess", "EXEC_COMMAND"), ("run", "mytool", None), ("save", "django", "UPLOAD_WRITE"),
+    ("open", "webbrowser", "FILE_OPEN"), ("a.loads", "pickle", None), ("execute", "sqlite3", "SQL_EXECUTE"), ("redirect", "flask", "REDIRECT_NAV"), ("parse", "lxml", "XXE_PARSE"),
+]
+
+
+@query("SELECT p_partkey, name, sink FROM part JOIN (VALUES " + ", ".join(f"({i}, '{n}', " + (f"'{s}'" if s else "CAST(NULL AS VARCHAR)") + ")" for i, (n, _, s) in enumerate(BOUND))
+       + f") AS c(i, name, sink) ON p_partkey % {len(BOUND)} = i")
+def sink_import_binding(spark, sf):
+    at = (F.col("p_partkey") % len(BOUND)).cast("int") + 1
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in BOUND]), at)
+    dims = R.dims(spark)
+    calls = table(spark, sf, "part").select("p_partkey", pick(0).alias("name"), F.array(pick(1)).alias("modules"))
+    return callgraph.resolve_sinks(calls, dims["alias"], dims["safe"], modules="modules").select("p_partkey", "name", "sink")
+
+
+STATES = [
+    (0, "PARAM#0", "", "", 2), (7, "PARAM#0", "EXEC,FILE,REDIRECT,SQL,XSS", "allowlist", 3), (18, "PARAM#0", "FILE", "equality", 3), (21, "PARAM#1", "", "", 3), (24, "PARAM#0", "", "", 3),
+    (28, "GLOBAL", "", "", 2), (29, "PARAM#0,PARAM#1", "", "", 3), (31, "STDIN", "", "", 2), (32, "ENV", "", "", 2), (34, "PARAM#1", "", "", 3), (37, "PARAM#0", "EXEC,FILE,REDIRECT,SQL,XSS", "denylist", 3),
+    (38, "PARAM#0", "", "", 2), (40, "PARAM#0", "", "", 4), (43, "PARAM#0", "", "", 2),
+]
+
+
+@query(f"""SELECT 'p' || p_partkey || '.py' AS path, origins, partial, guard, steps FROM part JOIN (VALUES {", ".join(map(str, STATES[1:]))}) AS s(i, origins, partial, guard, steps) ON p_partkey % {N} = i""")
+def hit_states(spark, sf):
+    """What the abstract values hold where they reach a sink: merged origins, constraints, the strongest guard, the length of the path."""
+    h = _scopes(spark, sf).where("error is null").select("path", F.explode("hits").alias("h")).where("size(h.origins) > 0")
+    i = F.regexp_extract("path", r"(\d+)", 1).cast("long") % N
+    some = h.where(i.isin([x[0] for x in STATES[1:]]))
+    return some.select("path", F.array_join("h.origins", ",").alias("origins"), F.array_join("h.partial", ",").alias("partial"), F.coalesce("h.guard", F.lit("")).alias("guard"), F.size("h.steps").alias("steps"))
+
+
+@query(f"""SELECT kind, cwe, count(*) AS n FROM (SELECT 'intra' AS kind, CASE WHEN i = 3 OR i = 4 THEN 'CWE-94' ELSE 'CWE-89' END AS cwe FROM part JOIN (VALUES (0), (1), (2), (3), (4)) AS v(i) ON p_partkey % 5 = i
+  UNION ALL SELECT 'cross', CASE WHEN i = 3 OR i = 4 THEN 'CWE-94' ELSE 'CWE-89' END FROM part JOIN {snippets.expected_groups_sql()} ON p_partkey % 5 = i) GROUP BY 1, 2""")
+def certificates(spark, sf):
+    scopes = cut(parse.parse(snippets.groups(table(spark, sf, "part").select("p_partkey"), "p_partkey")))
+    return findings.certificates(findings.flows(scopes), interproc.cross_flows(scopes)).groupBy("kind", "cwe").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey AS pair_id, CASE p_partkey % 6 WHEN 0 THEN 'direct-sink' WHEN 1 THEN 'module-proximity' WHEN 4 THEN 'direct-sink' END AS tier FROM part WHERE p_partkey % 6 IN (0, 1, 4)")
+def evidence_from_sources(spark, sf):
+    """A sink in the snippet; in the module of one that returns; of one that doesn't; a constant; markup marked safe; another class."""
+    near = "def g(a):\n    cursor.execute(a)\n"
+    cases = [
+        ("def f(a):\n    cursor.execute(a)\n", "", "CWE-89"), ("def f(a):\n    return a + 1\n", near, "CWE-89"), ("def f(a):\n    b = a\n", near, "CWE-89"),
+        ("def f(a):\n    cursor.execute('SELECT 1')\n", "", "CWE-89"), ("def f(a):\n    return mark_safe(a)\n", "", "CWE-79"), ("def f(a):\n    return open(a)\n", near, "CWE-94"),
+    ]
+    at = (F.col("p_partkey") % 6).cast("int") + 1
+    pick = lambda k: F.element_at(F.array(*[F.lit(c[k]) for c in cases]), at)
+    return builder.evidence(table(spark, sf, "part").select(F.col("p_partkey").alias("pair_id"), pick(2).alias("cwe"), pick(0).alias("snippet"), F.concat(pick(1), pick(0)).alias("module")))
+
+
+@query(f"""SELECT 'p' || p_partkey || '.py' AS path, cwe AS classes, CASE WHEN detector = 'taint' AND i IN (4, 6) THEN CASE i WHEN 4 THEN 'os.system@4' ELSE 'open@2' END ELSE '' END AS calls
+  FROM {EXPECTED} WHERE i IN (4, 6)""")
+def call_keys(spark, sf):
+    f = findings.call_keys(findings.findings(_scopes(spark, sf)))
+    return f.where((F.regexp_extract("path", r"(\d+)", 1).cast("long") % N).isin(4, 6)).select("path", F.array_join("classes", ",").alias("classes"), F.array_join("calls", ",").alias("calls"))
+
+
+@query(f"""SELECT 'p' || p_partkey || '.py' AS path, CASE p_partkey % {N} WHEN 0 THEN 'nh_arg:<REQUEST_INPUT>' ELSE 'nh_arg:<URL_PARAM>' END AS tokens FROM part WHERE p_partkey % {N} IN (0, 9, 10)""")
+def hint_tokens(spark, sf):
+    s = _scopes(spark, sf).where("error is null and scope > 0")
+    t = s.select("path", F.array_join(S.hint_tokens(F.col("function"), F.col("params"), F.col("calls")), ",").alias("tokens"))
+    return t.where((F.regexp_extract("path", r"(\d+)", 1).cast("long") % N).isin(0, 9, 10))
+
+
+@query("SELECT event_id, 'a/b/' || event_id AS path, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events")
+def paths_and_dates(spark, sf):
+    e = table(spark, sf, "events")
+    p = F.concat(F.lit("C:\\r\\a\\b\\"), F.col("event_id").cast("string"))
+    return e.select("event_id", S.slashes(p, "C:\\r").alias("path"), S.iso_date(F.col("ts").cast("timestamp")).alias("stamp"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, s AS sink, CASE WHEN l_quantity > 45 THEN true WHEN l_quantity > 40 THEN (s <> 'NET_REQUEST')
     WHEN s = 'SQL_EXECUTE' THEN l_linenumber = 1 WHEN s = 'NET_REQUEST' THEN l_linenumber = 1 ELSE l_linenumber IN (1, 2, 4) END AS danger
   FROM (SELECT *, CASE l_partkey % 3 WHEN 0 THEN 'SQL_EXECUTE' WHEN 1 THEN 'NET_REQUEST' ELSE 'XSS_MAIL_BODY' END AS s FROM lineitem)""")
