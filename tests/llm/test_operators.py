@@ -392,6 +392,25 @@ def test_clashing_columns_stay(spark):
     assert mixing.mix(df)[0].count() == line_dedup.line_rows(df).count() == substring.dedup_substrings(df).count() == 3
 
 
+def test_very_long_texts_and_ties(spark):
+    """A line of 200,000 code points twice with one edit, a text of 20,000 lines; a turn of a million; ties in sentences and rows."""
+    line = "".join(chr(97 + i * i % 26) for i in range(200_000))
+    many = "\n".join(f"line {i} of a long text, number {i * 7919 % 10007}" for i in range(20_000))
+    df = spark.createDataFrame([(1, line), (2, line[:500] + "!" + line[501:]), (3, many), (3, many), (None, "tie tie tie tie"), (None, "tie tie tie tie")], SCHEMA)
+    rows = line_dedup.line_rows(df).collect()
+    assert len(rows) == 40_004
+    first = {r["doc_id"]: r for r in rows if r["line_no"] == 0}
+    assert first[1]["line_class"] == first[2]["line_class"] and first[1]["kept"] and not first[2]["kept"]
+    # repeated rows tie in id and place: both keep their line
+    assert [r["kept"] for r in rows if r["doc_id"] is None] == [True, True] and len({r["line_class"] for r in rows if r["doc_id"] is None}) == 1
+    turn = "<|im_end|> x " * 80_000
+    out = chat.format_conversations(spark.createDataFrame([(1, 0, "user", turn), (1, 0, "user", turn)], "conv_id long, turn long, role string, text string"))
+    assert [[t["text"] for t in r["turns"]] for r in out.withColumn("turns", chat.parse(F.col("formatted"))).collect()] == [[turn, turn]]
+    model = ({"^bad$": 9.0}, -4.0)
+    r = toxicity.score(spark.createDataFrame([(1, "Fine. bad. So bad. Good."), (2, "a. " * 200_000)], SCHEMA), model).orderBy("doc_id").collect()
+    assert r[0]["worst"] == 1 and r[0]["offending"] == [1, 2] and r[0]["predicted"] == 1 and r[1]["worst"] == 0
+
+
 def test_empty_tables_give_no_rows(spark, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     assert substring.dedup_substrings(empty).count() == 0

@@ -1,10 +1,16 @@
 """The pipeline's stages against what each operator promises."""
 
+import re
+from collections import Counter
+
 import duckdb
+import pandas as pd
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tracegrain.llm import mixing, queries
+from tracegrain.llm import mixing, queries, toxicity
+
+from .test_operators import WORDS, near_expected, targets
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +75,59 @@ def test_chat_sql(spark):
     names = [d[0] for d in want.description]
     got = sorted(tuple(r[n] for n in names) for r in queries.op3_chat_round_trip(spark, SF).collect())
     assert got == sorted(want.fetchall())
+
+
+def test_stages_are_what_brute_force_gives_for_their_input(spark):
+    """Every stage on all that its predecessor kept of real rows, with near copies, a repeated row and a null text added."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    rows = [tuple(r) for r in docs.collect()]
+    long = max(rows, key=lambda r: len(r[1] or ""))
+    words = long[1].split()
+    rows += [(9001, " ".join(["changed", *words[1:]]), "en", long[3], 1), (9002, long[1], "en", None, 1), long, (9003, None, "en", None, 0)]
+    docs = spark.createDataFrame(rows, docs.schema)
+    items = pd.read_parquet(f"{SF}/benchmark.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = [tuple(r) for r in docs.select(*corpus_pipeline.COLUMNS).collect()]
+        out = stage(spark, docs, SF)
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        kept[name] = (before, [tuple(r) for r in docs.select(*corpus_pipeline.COLUMNS).collect()], docs)
+
+    before, after, _ = kept["toxicity"]
+    scored = toxicity.score(spark.createDataFrame(before, schema=docs.select(*corpus_pipeline.COLUMNS).schema), toxicity.train(spark.createDataFrame(before, docs.select(*corpus_pipeline.COLUMNS).schema), labels))
+    assert sorted(map(str, after)) == sorted(str(tuple(r)[:5]) for r in scored.where("score < 0.5").select(*corpus_pipeline.COLUMNS, "score").collect())
+
+    before, after, _ = kept["near_dedup"]
+    lowest = {c for _, c in near_expected([(r[0], r[1]) for r in before])}
+    assert sorted(r[0] for r in after) == sorted(lowest) and 9001 not in lowest and 9002 not in lowest and 9003 in lowest
+
+    before, after, _ = kept["decontamination"]
+
+    def runs(text, n):
+        w = re.findall(r"\w+", (text or "").lower())
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    bad = set()
+    for text in items.text:
+        n = min(5, len(re.findall(r"\w+", (text or "").lower())))
+        own = runs(text, n) if n else set()
+        bad |= {r[0] for r in before if own and len(own & runs(r[1], n)) >= 0.8 * len(own)}
+    assert sorted(map(str, after)) == sorted(str(r) for r in before if r[0] not in bad) and bad
+
+    before, after, _ = kept["mixing"]
+    sizes, words, most = Counter(), Counter(), Counter()
+    for r in before:
+        n = len(WORDS(r[1] or ""))
+        sizes[r[3]] += n
+        most[r[3]] = max(most[r[3]], n)
+    for r in after:
+        words[r[3]] += len(WORDS(r[1] or ""))
+    assert all(abs(words[s] - t) <= most[s] for s, t in targets(sizes).items()) and {str(r) for r in after} <= {str(r) for r in before}
+
+    before, after, docs = kept["sharding"]
+    size = Counter()
+    for r in docs.collect():
+        size[r["shard"]] += len((r["text"] or "").encode()) + 1
+    assert sorted(map(str, after)) == sorted(map(str, before))
+    assert max(abs(n - sum(size.values()) / 8) for n in size.values()) <= max(len((r[1] or "").encode()) for r in before) * max(Counter(before).values()) + 0.001 * sum(size.values())
