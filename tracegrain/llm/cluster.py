@@ -15,9 +15,8 @@ pairs don't become rows.  A pair that shares many buckets becomes a row in the
 first one alone.
 
 Rows of buckets are names only; features are joined to the rows of the buckets that
-are compared across classes.  Comparisons run in groups of a centre and at most
-``GROUP`` others, so a text that thousands are compared with is sent once for each
-group.
+are compared across classes.  Comparisons run in groups of some ``GROUP`` pairs, so a
+text that thousands are compared with is sent once for each group.
 """
 
 from __future__ import annotations
@@ -39,32 +38,38 @@ def compared(pairs: DataFrame, texts: DataFrame, linked: Callable[[str, list[str
     """The (a, b) of the distinct ``pairs`` that are linked; texts: (t, text)."""
 
     def grouped(batches):
-        # rows come sorted by a: a new group, which a itself joins, for each a and after GROUP rows
+        # rows come sorted by a: some GROUP rows are a group, and every a that has rows in it joins it itself
         from pyspark import TaskContext
 
         number, last, size = TaskContext.get().partitionId() << 40, None, 0
         for pdf in batches:
             out = []
             for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
-                if a != last or size == GROUP:
-                    number, last, size = number + 1, a, 0
-                    out.append((a, number, a))
+                if size >= GROUP:
+                    number, last, size = number + 1, None, 0
+                if a != last:
+                    last = a
+                    out.append((number, a, a))
                 size += 1
-                out.append((a, number, b))
-            yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 3), columns=["a", "g", "t"])
+                out.append((number, a, b))
+            yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 3), columns=["g", "a", "t"])
 
     # partitions by a that Spark can split where one a has very many rows
     near_a = pairs.hint("rebalance", F.col("a")).sortWithinPartitions("a")
-    rows = near_a.mapInPandas(grouped, "a long, g long, t long").join(texts.hint("merge"), "t")
+    rows = near_a.mapInPandas(grouped, "g long, a long, t long").join(texts.hint("merge"), "t")
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf["a"].iloc[0]
-        own = pdf["t"] == a
-        rest = pdf[~own].drop_duplicates("t")
-        got = linked(pdf["text"][own].iloc[0], list(rest["text"]))
-        return pd.DataFrame({"a": a, "b": rest["t"][pd.Series(got, index=rest.index, dtype=bool)]})
-
-    return cut(rows.groupBy("a", "g").applyInPandas(f, "a long, b long"))
+        centres: dict[int, str] = {}
+        others: dict[int, dict[int, str]] = {}
+        for a, t, text in zip(pdf["a"].tolist(), pdf["t"].tolist(), pdf["text"], strict=True):
+            if a == t:
+                centres[a] = text
+            else:
+                others.setdefault(a, {})[t] = text
+        out = [(a, b) for a, by in others.items() for b, yes in zip(by, linked(centres[a], list(by.values())), strict=True) if yes]
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return cut(rows.groupBy("g").applyInPandas(f, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ of their lines otherwise; an empty table gives no rows; extra columns are not re
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -207,11 +209,12 @@ def parities(line: str) -> tuple[int, int]:
 
 def linked(centre: str, others: list[str]) -> list[bool]:
     """Whether the edits are as few as the longer line may have."""
-    out, (one, two) = [], parities(centre)
+    # an edit changes the counts of any characters by two at most
+    some = [(c, n) for c, n in Counter(centre).most_common(12)]
+    out = []
     for x in others:
         most = edits(max(len(centre), len(x)))
-        p, q = parities(x)
-        may_be = (one ^ p).bit_count() <= 2 * most and (two ^ q).bit_count() <= 4 * most
+        may_be = sum(abs(x.count(c) - n) for c, n in some) <= 2 * most
         out.append(may_be and edit_distance(centre, x, most) <= most)
     return out
 
