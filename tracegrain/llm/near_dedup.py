@@ -12,9 +12,10 @@ Of each dart 8 bits are kept, in 48 bands of 8 darts, a number of 64 bits each.
 These bands meet a document of similarity 0.8 with a chance of 1 - 1.5e-4, and one
 of 0.4, such as texts that share a passage, with 3 %.  What shares a band is
 verified by its exact weighted Jaccard similarity, 0.8 or more, and grouped
-(cluster.py).  Pairs are left out where more than ``DIFFER`` of the 384 darts
-differ, or ``BITS_DIFFER`` of one bit of each, which a pair at 0.8 does with a
-chance of 5e-5, and a closer one less often.
+(cluster.py).  Texts that may still be linked across classes get a wider signature
+of 1,536 darts, 4 bits of each.  Pairs are left out where more than ``WIDE_DIFFER``
+of those differ, or ``DIFFER`` of the 384, or ``BITS_DIFFER`` of one bit of each,
+which a pair at 0.8 does with a chance of 8e-5, and a closer one less often.
 Equal texts are one element of the join and meet again at the end.
 
 Texts are named by 64-bit hashes: among 1e9 different texts, two get one name
@@ -46,6 +47,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 48, 8
 K = BANDS * ROWS
 DIFFER, BITS_DIFFER = 108, 68
+WIDE = 4 * K
+WIDE_DIFFER = 349
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 FIRST_CELL = 1.0
 
@@ -97,10 +100,10 @@ def _cell(m: int) -> tuple[float, float, np.ndarray]:
     return _CELLS[m]
 
 
-def signature(u: np.ndarray) -> np.ndarray:
-    """The K darts that stay, by coordinate."""
-    rank, dart = np.full(K, np.inf), np.zeros(K, np.uint64)
-    open_ = np.ones(K, bool)
+def signature(u: np.ndarray, k: int = K) -> np.ndarray:
+    """The k darts that stay, by coordinate."""
+    rank, dart = np.full(k, np.inf), np.zeros(k, np.uint64)
+    open_ = np.ones(k, bool)
     m = 0
     while True:
         low, width, cdf = _cell(m)
@@ -109,7 +112,7 @@ def signature(u: np.ndarray) -> np.ndarray:
         n = np.searchsorted(cdf, p, side="right")
         i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         d = _mix(np.repeat(e, n) * _C2 + i.astype(np.uint64) + np.uint64(1))
-        c = ((d >> np.uint64(32)) * np.uint64(K) >> np.uint64(32)).astype(np.int64)
+        c = ((d >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
         # a later cell only has higher ranks
         some = open_[c]
         if not some.all():
@@ -117,7 +120,7 @@ def signature(u: np.ndarray) -> np.ndarray:
         if len(d):
             r = low + width * ((_mix(d) >> np.uint64(11)).astype(np.float64) * 2.0**-53)
             order = np.argsort(r)[::-1]
-            best = np.full(K, -1)
+            best = np.full(k, -1)
             best[c[order]] = order  # the last written, the lowest rank, stays
             own = np.flatnonzero(best >= 0)
             rank[own], dart[own] = r[best[own]], d[best[own]]
@@ -137,6 +140,23 @@ def sketch(dart: np.ndarray) -> np.ndarray:
     return np.packbits((dart >> np.uint64(7)).astype(np.uint8) & 1).view(np.int64)
 
 
+def wide(u: np.ndarray) -> np.ndarray:
+    """4 bits of each of WIDE darts, 16 to a number."""
+    four = (signature(u, WIDE) >> np.uint64(8)).astype(np.uint8) & 15
+    return (four[::2] | four[1::2] << 4).view(np.int64)
+
+
+def _features(texts: pd.Series) -> pd.DataFrame:
+    """What cluster.classes() knows of a text that is compared across classes."""
+    rows = []
+    for text in texts:
+        with np.errstate(over="ignore"):
+            u = units(elements(word_hashes(text)))
+            dart = signature(u)
+            rows.append((bands(dart), sketch(dart), wide(u)))
+    return pd.DataFrame(rows, columns=["bands", "bits", "wide"])
+
+
 SIGNED = "t long, d long, bands array<long>, bits array<long>"
 
 
@@ -166,10 +186,17 @@ def _near(x: Column, y: Column) -> Column:
             z = z.bitwiseOR(F.shiftrightunsigned(z, n))
         return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
 
+    def fours_differ(p: Column, q: Column) -> Column:
+        z = p.bitwiseXOR(q)
+        for n in (2, 1):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, n))
+        return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+
     def total(each: Column) -> Column:
         return F.aggregate(each, F.lit(0), lambda s, n: s + n)
 
-    return (total(bits) <= BITS_DIFFER) & (total(F.zip_with(x["bands"], y["bands"], bytes_differ)) <= DIFFER)
+    near = (total(bits) <= BITS_DIFFER) & (total(F.zip_with(x["bands"], y["bands"], bytes_differ)) <= DIFFER)
+    return near & (total(F.zip_with(x["wide"], y["wide"], fours_differ)) <= WIDE_DIFFER)
 
 
 def _first(b: Column, x: Column, y: Column) -> Column:
@@ -213,7 +240,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     owners = cut(signed.groupBy("t").agg(F.min("d").alias("d")))
 
     def features_of(texts: DataFrame) -> DataFrame:
-        return texts.withColumn("d", F.lit(0).cast("long")).mapInPandas(_sign, SIGNED).select("t", F.struct("bands", "bits").alias("x"))
+        made = F.pandas_udf(_features, "bands array<long>, bits array<long>, wide array<long>")
+        return texts.select("t", made("text").alias("x"))
 
     def texts_of(names: DataFrame) -> DataFrame:
         own = names.join(owners.hint("merge"), "t")
