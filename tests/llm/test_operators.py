@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -140,6 +141,23 @@ def test_op9_is_brute_force(spark, hard, docs, which):
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == removed(rows)
 
 
+def test_op9_writes_few_tables(spark, docs, monkeypatch):
+    """A task that writes a table starts a process for each folder, file and checksum; six tables without checksums are needed."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("cut-*"))
+    monkeypatch.setattr(substring, "forget", lambda *tables: None)
+    got = substring.dedup_substrings(spark.createDataFrame(docs[["doc_id", "text"]])).select("n_removed").collect()
+    tables = set(folder.glob("cut-*")) - before
+    assert sum(r["n_removed"] for r in got) > 0 and len(tables) == 6 and not [f for t in tables for f in t.rglob("*.crc")]
+
+
+def test_op9_joins_have_their_own_exchanges(spark):
+    rows = spark.range(100).selectExpr("id % 7 AS h9")
+    again = substring._twice(rows, "h9")
+    plan = rows.join(again.hint("merge"), "h9", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(h9") == 3, plan
+
+
 def test_op5_is_brute_force(spark, docs):
     items = pd.read_parquet(f"{SF}/benchmark.parquet")
 

@@ -24,7 +24,8 @@ documents share nor a group of copies meets in one task: equal contexts become
 one row with a count.  Documents are named by a 128-bit hash of their text, so
 copies share one row of marks.  Texts are read three times; they are shuffled
 once, to meet their marks.  The choices are written once, and their table is
-deleted when those that repeat have been written.
+deleted when those that repeat have been written.  Only what several steps read is a
+table: on a local file system each task that writes one starts processes.
 
 Edge cases: null and empty texts have no words and keep the digest of the empty
 text; shorter documents than a window lose nothing; a repeated row is a document
@@ -35,15 +36,18 @@ gives no rows.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, small_batches, word_hashes, words
+from . import common
+from .common import NO_CHECKSUMS, forget, small_batches, word_hashes, words
 
 WINDOW, SEED = 35, 9
+cut = partial(common.cut, **NO_CHECKSUMS)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
 
@@ -163,9 +167,13 @@ def _texts(docs: DataFrame) -> DataFrame:
     return _keyed(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "k1", "k2")
 
 
+def _anew(rows: DataFrame) -> DataFrame:
+    """``rows`` as they lie, but dealt by nothing that Spark knows: a join gives them an exchange of its own, which it can split."""
+    return rows.coalesce(1 << 20)
+
+
 def _twice(rows: DataFrame, *by: str) -> DataFrame:
-    # cut, so that the join has its own exchange, which Spark can split
-    return cut(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count")).where("count > 1").select(*by))
+    return _anew(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count")).where("count > 1").select(*by))
 
 
 def marks(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -174,14 +182,14 @@ def marks(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     rows = cut(texts.select("k1", "k2", "text").mapInPandas(_choose(window, seed), _CHOICES))
     again = _twice(rows.select("h9"), "h9")
     level1 = cut(rows.join(again.hint("merge"), "h9", "left_semi"))
-    forget(rows, again)
+    forget(rows)
     again = _twice(level1.select(F.explode(F.array("right", "left")).alias("r"), "h9").where("r != 0"), "h9", "r")
     level2 = cut(
         level1.join(again.withColumnRenamed("r", "right").withColumn("a", F.lit(True)).hint("merge"), ["h9", "right"], "left")
         .join(again.withColumnRenamed("r", "left").withColumn("b", F.lit(True)).hint("merge"), ["h9", "left"], "left")
         .where("a or b").drop("a", "b", "right", "left")
     )
-    forget(level1, again)
+    forget(level1)
     # the last level: contexts, one row each
     contexts = cut(level2.groupBy("h9", "context").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("k1", "k2", "first", "n", "off")).alias("at")))
     several = _twice(contexts.select("h9"), "h9")
@@ -191,18 +199,15 @@ def marks(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     one = texts.join(wanted.hint("merge"), ["k1", "k2"]).select("text", "wanted")
     # copies of a text list the same windows
     listed = cut(one.mapInPandas(_list_windows(window), _WINDOWS).distinct())
-    forget(several)
-    repeated = cut(listed.groupBy("h9", "w").agg(F.sum("count").alias("s")).where("s > 1").select("h9", "w"))
+    repeated = _anew(listed.groupBy("h9", "w").agg(F.sum("count").alias("s")).where("s > 1").select("h9", "w"))
     bits = listed.join(repeated.hint("merge"), ["h9", "w"]).groupBy("h9", "context").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"))
     whole = F.expr("shiftleft(1L, at.n) - 1")
     bits = contexts.where("count > 1").select("h9", "context", whole.alias("bits")).unionByName(
         contexts.where("count = 1").select("h9", "context").join(bits.hint("merge"), ["h9", "context"])
     )
-    bits = cut(bits)
-    forget(listed, repeated, contexts)
     found = level2.join(bits.hint("merge"), ["h9", "context"]).select("k1", "k2", "first", "bits").distinct()
     out = cut(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "bits")).alias("runs")))
-    forget(level2, bits)
+    forget(level2, listed, contexts)
     return out
 
 
