@@ -58,7 +58,7 @@ def tokens(scopes: DataFrame) -> DataFrame:
     category = F.create_map(*[F.lit(v) for s, (c, *_) in R.SINKS.items() for v in (s, c)])
     f = findings.flows(scopes).where(F.size("origins") > 0)
     ordered = F.array_sort(F.collect_list(F.struct("ord", "sink", "origins", "kills", "sink_call", "detector"))).alias("f")
-    own = scopes.where("error is null").join(f.groupBy("path", "scope").agg(ordered), ["path", "scope"], "left")
+    own = scopes.where("error is null").join(f.groupBy("path", "scope").agg(ordered).hint("merge"), ["path", "scope"], "left")
     f = F.coalesce("f", F.array().cast(own.schema["f"].dataType))
     taint = F.filter(f, lambda x: x["detector"] == "taint")
     flow = F.flatten(F.transform(taint, lambda x: F.transform(x["origins"], lambda o: F.concat(F.lit("flow:"), o, F.lit("->"), x["sink"]))))
@@ -136,7 +136,7 @@ def sarif_log(rows: DataFrame, suppressed: DataFrame | None = None, errors: Data
     made = sarif_results(every).withColumn("rule", rule)
     rules = made.groupBy("path", "cwe").agg(F.min_by("rule", rank).alias("rule")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("cwe", "rule"))).alias("rules"))
     order = F.struct("suppressed", "lineno", "cwe", "trace_id", "sink")
-    by = made.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.to_json("result").alias("r")))).alias("results")).join(rules, "path")
+    by = made.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.to_json("result").alias("r")))).alias("results")).join(rules.hint("merge"), "path")
     if errors is not None:
         by = by.join(errors.groupBy("path").agg(F.array_sort(F.collect_set("error")).alias("errors")), "path", "full_outer")
     else:
