@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from tracegrain.operators import findings, parse
 from tracegrain.operators.parse import dotted
+from tracegrain.operators.tables import cut
 from tracegrain.plans import registry as R
 
 # What a call by these names is expected to be, whatever the registry says.
@@ -179,7 +180,7 @@ def evidence(pairs: DataFrame) -> DataFrame:
     """
     text = F.explode(F.array(F.struct(F.lit("s").alias("side"), F.col("snippet").alias("source")), F.struct(F.lit("m").alias("side"), F.col("module").alias("source"))))
     files = pairs.select(F.col("pair_id").cast("string").alias("id"), text.alias("t")).where("t.source is not null")
-    scopes = parse.parse(files.select(F.concat_ws("|", "t.side", "id").alias("path"), "t.source")).where("error is null")
+    scopes = cut(parse.parse(files.select(F.concat_ws("|", "t.side", "id").alias("path"), "t.source"))).where("error is null")
     hits = scopes.select("path", F.explode("hits").alias("h")).select("path", "h.*").where("not constant")
     amp = hits.where("amplifier").select("path", F.lit("CWE-79").alias("cwe"))
     own = findings.dangerous(hits.where("not amplifier"), R.dims(pairs.sparkSession)["sink"]).where("danger").select("path", "cwe")
@@ -188,7 +189,7 @@ def evidence(pairs: DataFrame) -> DataFrame:
     side = lambda df: df.select(F.substring("path", 1, 1).alias("side"), F.substr("path", F.lit(3)).alias("id"), "cwe")
     known = side(touched.unionByName(gives))
     wanted = pairs.select("pair_id", F.col("pair_id").cast("string").alias("id"), F.col("cwe").alias("want"))
-    m = wanted.join(known, "id").groupBy("pair_id").agg(
+    m = wanted.join(known.hint("merge"), "id").groupBy("pair_id").agg(
         F.max((F.col("side") == "s") & (F.col("cwe") == F.col("want"))).alias("direct"), F.max((F.col("side") == "m") & (F.col("cwe") == F.col("want"))).alias("near"),
         F.max((F.col("side") == "s") & (F.col("cwe") == "returns")).alias("gives"),
     )
