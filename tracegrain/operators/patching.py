@@ -111,12 +111,12 @@ def repair(sources: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for path, source in zip(pdf["path"], pdf["source"], strict=True):
-                applied, tried = 0, set()
-                while todo := [h for h in hits(source) if h not in tried]:
+                left, applied, tried = hits(source), 0, set()
+                while todo := [h for h in left if h not in tried]:
                     tried.add(todo[0])
                     out, _why = sanitise(source, *todo[0][1:])
-                    if out is not None and len(hits(out)) < len(hits(source)):
-                        source, applied, tried = out, applied + 1, set()
+                    if out is not None and len(after := hits(out)) < len(left):
+                        source, left, applied, tried = out, after, applied + 1, set()
                 rows.append((path, source, applied))
             yield pd.DataFrame(rows, columns=["path", "patched", "applied"])
 
