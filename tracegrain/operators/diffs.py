@@ -42,8 +42,8 @@ def patch_status(entries: DataFrame, by: list[str], expected: DataFrame | None =
     g = verdicts(entries, by)
     if expected is not None:
         killed = entries.where("outcome = 'killed'").select(*by, key).distinct()
-        missing = expected.join(killed, [*by, key], "left_anti").groupBy(*by).agg(F.count(F.lit(1)).alias("missing"))
-        g = g.join(missing, by, "left")
+        missing = expected.join(killed.hint("merge"), [*by, key], "left_anti").groupBy(*by).agg(F.count(F.lit(1)).alias("missing"))
+        g = g.join(missing.hint("merge"), by, "left")
     else:
         g = g.withColumn("missing", F.lit(0))
     reasons = F.array_compact(F.array(

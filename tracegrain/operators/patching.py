@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegrain.operators import diffs, findings, parse
+from tracegrain.operators.tables import cut
 
 # The sanitiser of each category and the import it needs.
 FIX = {"EXEC": "shlex.quote", "FILE": "os.path.basename", "XSS": "html.escape", "REDIRECT": "urllib.parse.quote", "XXE": "defusedxml.fromstring"}
@@ -70,21 +71,21 @@ def propose(traces: DataFrame, sources: DataFrame, backend: Callable = sanitise)
                 rows.append((path, tid, cat, out is None, why, out, out.count("\n") - source.count("\n") if out else 0))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    joined = traces.join(sources, "path").select("path", "trace_id", "category", "sink_line", "sink_call", "sink_arg", "source")
+    joined = traces.join(sources.hint("merge"), "path").select("path", "trace_id", "category", "sink_line", "sink_call", "sink_arg", "source")
     return joined.mapInPandas(f, SCHEMA)
 
 
 def verify(proposals: DataFrame, sources: DataFrame) -> DataFrame:
     """Every proposal rescanned in one job: accepted if it parses, the flow is gone and none is new."""
     made = proposals.where("not refused").withColumn("patch", F.concat_ws("|", "path", "trace_id"))
-    after = parse.parse(made.select(F.col("patch").alias("path"), F.col("patched").alias("source")))
-    before = parse.parse(made.join(sources, "path").select(F.col("patch").alias("path"), "source"))
+    after = cut(parse.parse(made.select(F.col("patch").alias("path"), F.col("patched").alias("source"))))
+    before = cut(parse.parse(made.join(sources.hint("merge"), "path").select(F.col("patch").alias("path"), "source")))
     entries = diffs.diff(
         findings.flows(before).select(F.struct("path", "trace_id").alias("k"), "sink_line"), findings.flows(after).select(F.struct("path", "trace_id").alias("k"), "sink_line"), "k"
     ).select(F.col("k.path").alias("patch"), F.col("k.trace_id").alias("trace_id"), "outcome")
     status = diffs.patch_status(entries, ["patch"], made.select("patch", "trace_id"))
     bad = after.where("error is not null").select(F.col("path").alias("patch"), F.lit(False).alias("parses"))
-    out = made.select("path", "trace_id", "category", "patch").join(status.drop("trace_id"), "patch", "left").join(bad, "patch", "left")
+    out = made.select("path", "trace_id", "category", "patch").join(status.drop("trace_id").hint("merge"), "patch", "left").join(bad.hint("merge"), "patch", "left")
     out = out.withColumn("parses", F.coalesce("parses", F.lit(True)))
     return out.withColumn("accepted", F.coalesce("accepted", F.lit(False)) & F.col("parses")).drop("patch")
 
@@ -128,7 +129,7 @@ def probed(traces: DataFrame, sources: DataFrame) -> DataFrame:
     line = F.get(F.split("source", "\n", -1), F.col("sink_line") - 1)
     name = F.element_at(F.create_map(*[F.lit(x) for kv in PROBE.items() for x in kv]), F.col("category"))
     token = F.concat("sink_call", F.lit("("))
-    joined = traces.join(sources.select("path", "source"), "path").withColumns({"line": line, "token": token, "wrap": name})
+    joined = traces.join(sources.select("path", "source").hint("merge"), "path").withColumns({"line": line, "token": token, "wrap": name})
     joined = joined.withColumns({"at": F.expr("instr(line, token)"), "head": F.expr("substr(line, 1, instr(line, token) + length(token) - 1)")})
     joined = joined.withColumn("rest", F.expr("substr(line, length(head) + 1)")).withColumn("end", F.expr("instr(rest, ')')"))
     made = F.expr("concat(head, wrap, '(', substr(rest, 1, end - 1), ')', substr(rest, end))")
@@ -139,11 +140,11 @@ def probed(traces: DataFrame, sources: DataFrame) -> DataFrame:
 
 def kills(traces: DataFrame, sources: DataFrame) -> DataFrame:
     """(path, trace_id, category, killed): whether no flow is left in the probe; null where there is none."""
-    probes = probed(traces, sources).withColumn("key", F.concat_ws("|", "path", "trace_id"))
+    probes = cut(probed(traces, sources).withColumn("key", F.concat_ws("|", "path", "trace_id")))
     scanned = parse.parse(probes.where("probe is not null").select(F.col("key").alias("path"), F.col("probe").alias("source")))
     left = findings.flows(scanned).select(F.col("path").alias("key")).distinct().withColumn("left", F.lit(True))
     killed = F.when(F.col("probe").isNotNull(), F.col("left").isNull())
-    return probes.join(left, "key", "left").select("path", "trace_id", "category", killed.alias("killed"))
+    return probes.join(left.hint("merge"), "key", "left").select("path", "trace_id", "category", killed.alias("killed"))
 
 
 def rendered(status: DataFrame) -> DataFrame:
