@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracegrain.operators import diffs, findings, parse
+from tracegrain.operators.tables import cut
 from tracegrain.sources import readers
 
 
@@ -69,14 +70,14 @@ def diff_sources(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFr
 
     Flows are told apart by path and identity.
     """
-    a, b = parse.parse(before), parse.parse(after)
+    a, b = cut(parse.parse(before)), cut(parse.parse(after))
     key = F.struct("path", "trace_id").alias("k")
     facts = ("function", "cwe", "sink", "sink_line")
-    left, right = (findings.flows(s).select(key, *facts) for s in (a, b))
+    left, right = (cut(findings.flows(s).select(key, *facts)) for s in (a, b))
     entries = diffs.diff(left, right, "k")
     # facts of the side that has them, the later one if both do
     known = left.withColumn("s", F.lit(0)).unionByName(right.withColumn("s", F.lit(1))).groupBy("k").agg(F.max_by(F.struct(*facts), F.struct("s", -F.col("sink_line"))).alias("f"))
-    entries = entries.join(known, "k").select("k.path", "k.trace_id", "f.*", "outcome", "line_delta")
+    entries = entries.join(known.hint("merge"), "k").select("k.path", "k.trace_id", "f.*", "outcome", "line_delta")
     errors = a.where("error is not null").select(F.lit("before").alias("side"), "path", "error").unionByName(
         b.where("error is not null").select(F.lit("after").alias("side"), "path", "error")
     )
