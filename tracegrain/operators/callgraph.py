@@ -46,13 +46,13 @@ def resolve_functions(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """(callee) to target: the function of that name, else the least of those with its last segment."""
     exact = functions.select(F.col("qualname").alias("callee"), F.col("qualname").alias("exact")).distinct()
     by_tail = functions.groupBy(S.tail(F.col("qualname")).alias("last")).agg(F.min("qualname").alias("near"))
-    out = calls.join(exact, "callee", "left").withColumn("last", S.tail(F.col("callee"))).join(by_tail, "last", "left")
+    out = calls.join(exact.hint("merge"), "callee", "left").withColumn("last", S.tail(F.col("callee"))).join(by_tail.hint("merge"), "last", "left")
     return out.withColumn("target", F.coalesce("exact", "near")).drop("exact", "near", "last")
 
 
 def entry_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node) that nobody calls."""
-    return nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+    return nodes.join(edges.select(F.col("dst").alias("node")).distinct().hint("merge"), "node", "left_anti")
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -60,8 +60,8 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
     known = Rounds(seeds.select(F.col("node").alias("entry"), "node", F.lit(0).alias("depth")).distinct())
     for depth in itertools.count(1):
-        step = known.last.join(edges, F.col("node") == edges.src).select("entry", F.col("dst").alias("node")).distinct()
-        new = step.join(known.all().select("entry", "node"), ["entry", "node"], "left_anti")
+        step = known.last.join(edges.hint("merge"), F.col("node") == F.col("src")).select("entry", F.col("dst").alias("node")).distinct()
+        new = step.join(known.all().select("entry", "node").hint("merge"), ["entry", "node"], "left_anti")
         if known.add(new.withColumn("depth", F.lit(depth))).isEmpty():
             return known.all()
 
@@ -76,10 +76,10 @@ def chains(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     start = seeds.select(F.col("node").alias("entry"), "node", F.array("node").alias("chain"), F.array(F.lit(0).cast("long")).alias("queue"))
     known = Rounds(start.dropDuplicates(["node"]))
     while True:
-        step = known.last.join(edges, F.col("node") == edges.src).select(
+        step = known.last.join(edges.hint("merge"), F.col("node") == F.col("src")).select(
             "entry", F.col("dst").alias("node"), F.concat("chain", F.array("dst")).alias("chain"), F.concat("queue", F.array(F.col("ord").cast("long"))).alias("queue")
         )
-        step = step.join(known.all().select("entry", "node"), ["entry", "node"], "left_anti")
+        step = step.join(known.all().select("entry", "node").hint("merge"), ["entry", "node"], "left_anti")
         new = step.groupBy("entry", "node").agg(F.min(F.struct("queue", "chain")).alias("x")).select("entry", "node", "x.chain", "x.queue")
         if known.add(new).isEmpty():
             return known.all().select("entry", "node", "chain")
@@ -93,14 +93,14 @@ def propagate(params: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFram
     """
     every_param = params.select(F.col("fn").alias("dst"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p")).where("p >= 0")
     wide = cut(
-        edges.join(every_param, "dst").where("to_idx is null or to_idx = p").select("src", "dst", "from_idx", F.col("p").alias("to_idx")).distinct()
+        edges.join(every_param.hint("merge"), "dst").where("to_idx is null or to_idx = p").select("src", "dst", "from_idx", F.col("p").alias("to_idx")).distinct()
     )
     outside = wide.where("from_idx is null").select(F.col("dst").alias("fn"), F.col("to_idx").alias("idx"), F.col("src").alias("entry"))
     known, inner = Rounds(seeds.select("fn", "idx", "entry").unionByName(outside).distinct()), cut(wide.where("from_idx is not null"))
     while True:
-        step = known.last.join(inner, (F.col("fn") == inner.src) & (F.col("idx") == inner.from_idx))
+        step = known.last.join(inner.hint("merge"), (F.col("fn") == F.col("src")) & (F.col("idx") == F.col("from_idx")))
         step = step.select(F.col("dst").alias("fn"), F.col("to_idx").alias("idx"), "entry").distinct()
-        if known.add(step.join(known.all(), ["fn", "idx", "entry"], "left_anti")).isEmpty():
+        if known.add(step.join(known.all().hint("merge"), ["fn", "idx", "entry"], "left_anti")).isEmpty():
             return known.all()
 
 

@@ -55,7 +55,7 @@ def cross_flows(scopes: DataFrame) -> DataFrame:
     functions = cut(summaries(scopes))
     graph = cut(calls(scopes, functions))
     entries = callgraph.entry_points(functions.select(F.col("fn").alias("node")), graph.select("dst").distinct())
-    seeds = entries.join(functions.select(F.col("fn").alias("node"), "n"), "node").where("n > 0").select(
+    seeds = entries.join(functions.select(F.col("fn").alias("node"), "n").hint("merge"), "node").where("n > 0").select(
         F.col("node").alias("fn"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"), F.col("node").alias("entry")
     )
     reached = callgraph.propagate(functions.select("fn", "n"), argument_edges(graph), seeds)
@@ -63,14 +63,14 @@ def cross_flows(scopes: DataFrame) -> DataFrame:
     per_sink = cut(traces.groupBy("fn", "sink").agg(
         F.array_distinct(F.flatten(F.collect_list("param_indices"))).alias("idx"), F.max(F.size("param_indices") == 0).alias("outside")
     ))
-    by_entry = per_sink.select("fn", "sink", F.explode("idx").alias("idx")).join(reached, ["fn", "idx"]).groupBy("entry", "fn", "sink").agg(
+    by_entry = per_sink.select("fn", "sink", F.explode("idx").alias("idx")).join(reached.hint("merge"), ["fn", "idx"]).groupBy("entry", "fn", "sink").agg(
         F.array_sort(F.collect_set("idx")).alias("indices")
     )
     external = traces.where("size(param_indices) = 0").select("fn").distinct()
-    own = per_sink.where("size(idx) = 0").join(external, "fn").select(F.col("fn").alias("entry"), "fn", "sink", F.array().cast("array<int>").alias("indices"))
+    own = per_sink.where("size(idx) = 0").join(external.hint("merge"), "fn").select(F.col("fn").alias("entry"), "fn", "sink", F.array().cast("array<int>").alias("indices"))
     pending = cut(by_entry.unionByName(own))
     chains = callgraph.chains(graph.select("src", "dst", "ord"), pending.select(F.col("entry").alias("node")).distinct())
-    found = pending.join(chains.withColumnRenamed("node", "fn"), ["entry", "fn"], "left")
+    found = pending.join(chains.withColumnRenamed("node", "fn").hint("merge"), ["entry", "fn"], "left")
     found = found.withColumn("chain", F.coalesce("chain", F.when(F.col("entry") == F.col("fn"), F.array("entry")).otherwise(F.array("entry", "fn"))))
     return composed(found, traces, functions)
 
@@ -80,11 +80,11 @@ def composed(found: DataFrame, traces: DataFrame, functions: DataFrame) -> DataF
     fits = F.arrays_overlap("param_indices", "indices")
     order = F.struct(F.when(fits, 0).otherwise(1).alias("other"), F.col("path"), F.col("scope"), F.col("ord"))
     facts = ("cwe", "category", "sink_call", "sink_line", "origins", "steps", "kills", "confidence")
-    best = found.join(traces.select("fn", "sink", "path", "scope", "ord", "param_indices", *facts), ["fn", "sink"]).groupBy("entry", "fn", "sink").agg(
+    best = found.join(traces.select("fn", "sink", "path", "scope", "ord", "param_indices", *facts).hint("merge"), ["fn", "sink"]).groupBy("entry", "fn", "sink").agg(
         F.first("indices").alias("indices"), F.first("chain").alias("chain"), F.min_by(F.struct(*facts), order).alias("t")
     )
     starts = functions.select(F.col("fn").alias("entry"), F.col("file").alias("entry_file"), F.col("lineno").alias("entry_line"), "params")
-    best = best.join(starts, "entry").join(functions.select("fn", F.col("file").alias("sink_file")), "fn")
+    best = best.join(starts.hint("merge"), "entry").join(functions.select("fn", F.col("file").alias("sink_file")).hint("merge"), "fn")
 
     def step(kind: str, edge: str, detail):
         return F.struct(F.col("entry_line").alias("line"), F.lit(0).alias("column"), F.lit(kind).alias("kind"), F.lit(edge).alias("edge"), detail.alias("detail"))
